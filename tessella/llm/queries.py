@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import op9_ngram_join
+from .packing import op4_packing
 from .substring_dedup import op3_substring_dedup
+from .token_store import op10_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_packing": op4_packing,
     "op9_ngram_join": op9_ngram_join,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
