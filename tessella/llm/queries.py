@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .katz import op2_katz
 from .ngram_join import op9_ngram_join
 from .packing import op4_packing
 from .substring_dedup import op3_substring_dedup
 from .token_store import op10_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_katz": op2_katz,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op9_ngram_join": op9_ngram_join,
