@@ -7,12 +7,14 @@ therefore moves nearly incompressible hash bytes only, and a bucket's memory is
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 NO_ID = np.iinfo(np.int64).max
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -32,6 +34,18 @@ _SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, size=(2, 256), dty
 _powers: dict[str, np.ndarray] = {}
 
 
+def return_memory() -> None:
+    """Make the allocator give large freed arrays back at once; workers are reused and would keep their peak."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)
+        libc.mallopt(-1, 8 << 20)
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its own policy
+        pass
+    pa.default_memory_pool().release_unused()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -158,6 +172,7 @@ def word_slices(column: pa.Array, lower: bool, lanes: int = 1) -> Iterator[tuple
     """Cut a column into runs of texts of about SLICE_BYTES and hash the words of each."""
     if not len(column):
         return
+    return_memory()
     data, offsets = text_buffers(column)
     at, n = 0, len(offsets) - 1
     while at < n:
@@ -212,9 +227,117 @@ def map_buckets(df: DataFrame, key: str, work: Callable[[int, pa.Table], Iterabl
         held = [b for b in batches if b.num_rows]
         if not held:
             return
+        return_memory()
         table = pa.Table.from_batches(held)
         keys = table[key].to_numpy()
         for bucket, rows in by_bucket(keys - keys.min()):
             yield from work(bucket + int(keys.min()), table.take(pa.array(rows)))
+        del held, table
+        return_memory()
 
     return df.repartition(partitions, key).mapInArrow(run, schema)
+
+
+# --- questions to all rows, asked and answered in bulk -----------------------------------------------------------------
+# A task groups its rows into flushes.  A flush has a name of its own, a table that only its own resolver needs (kept
+# rows, ids), and questions packed by hash bucket.  Answers return to the flush by name, so questions refer to rows by
+# their ordinal in the flush, which costs a byte or so, and not by a key.
+
+ASK = "bucket int, flush long, body binary"
+ASK_ARROW = pa.schema([("bucket", pa.int32()), ("flush", pa.int64()), ("body", pa.binary())])
+
+
+def bundle(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays (or bytes) one after the other, with their lengths before them."""
+    parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def unbundle(body: bytes) -> list[memoryview]:
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    sizes = np.frombuffer(body, np.int64, n, 8)
+    view, at, out = memoryview(body), 8 + 8 * n, []
+    for size in sizes:
+        out.append(view[at : at + int(size)])
+        at += int(size)
+    return out
+
+
+def small(array: np.ndarray, dtype=np.int32) -> bytes:
+    """Compressed differences: for values that rise, or repeat."""
+    return compress(np.diff(array.astype(dtype), prepend=array.dtype.type(0)).astype(dtype))
+
+
+def unsmall(data, dtype=np.int32) -> np.ndarray:
+    return np.cumsum(expand(data, dtype), dtype=dtype)
+
+
+def ask_all(
+    asks: DataFrame,
+    answer: Callable[[int, list[tuple[int, bytes]]], Iterable[tuple[int, bytes]]],
+    resolve: Callable[[int, bytes, list[bytes]], Iterable[pa.RecordBatch]],
+    schema: str,
+    partitions: int,
+    tables: DataFrame | None = None,
+) -> DataFrame:
+    """``asks``: rows of ASK; a bucket of -1 marks a flush's table, others questions.
+
+    Large tables come apart, as ``tables``, and skip the first exchange.
+
+    ``answer`` gets a bucket and its (flush, question) pairs and yields (flush, answer); ``resolve`` gets a flush's name,
+    table and answers.  The order of rows within a task must be fixed for a flush to be the same in a repeated task.
+    """
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for bucket, flush, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket < 0:
+                    yield arrow_batch(ASK_ARROW, [(-1, flush, body)])
+                else:
+                    held.setdefault(bucket, []).append((flush, body))
+        return_memory()
+        for bucket in sorted(held):
+            rows = [(bucket, flush, body) for flush, body in answer(bucket, held.pop(bucket))]
+            if rows:
+                yield arrow_batch(ASK_ARROW, rows)
+        return_memory()
+
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, table, parts = None, b"", []
+        return_memory()
+        for batch in batches:
+            for bucket, flush, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if flush != current:
+                    if current is not None:
+                        yield from resolve(current, table, parts)
+                    current, table, parts = flush, b"", []
+                if bucket < 0:
+                    table = body
+                else:
+                    parts.append(body)
+        if current is not None:
+            yield from resolve(current, table, parts)
+        return_memory()
+
+    # A table travels by its flush's name, a question by its bucket.
+    route = F.when(F.col("bucket") < 0, F.col("flush")).otherwise(F.col("bucket").cast("long"))
+    answered = asks.withColumn("route", route).repartition(partitions, "route").select("bucket", "flush", "body").mapInArrow(answers, ASK)
+    if tables is not None:
+        answered = answered.unionAll(tables)
+    return answered.repartition(partitions, "flush").sortWithinPartitions("flush", "bucket").mapInArrow(resolved, schema)
+
+
+def low48(h: np.ndarray) -> bytes:
+    """The low six bytes of each hash: the bucket tells the rest apart well enough."""
+    return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from48(data, bucket: int = 0) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1) | _U64(bucket << 48)
+
+
+def flush_name(sequence: int) -> int:
+    return (TaskContext.get().partitionId() << 32) + sequence

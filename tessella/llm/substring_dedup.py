@@ -32,199 +32,183 @@ from . import common as C
 
 # A perfect difference set modulo 13.
 PERIOD, COVER = 13, (0, 1, 3, 9)
-FLUSH = 1 << 20
+FLUSH = 1 << 19
+# Buckets that a task takes one after the other.
+PER_TASK = 3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KEY, PLACES = "_row_key", "_places"
-PACKED = "bucket int, hash binary, keys binary, runs binary, place binary, known binary"
-PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("keys", pa.binary()), ("runs", pa.binary()), ("place", pa.binary()), ("known", pa.binary())])
 FOUND = "row_key long, places binary"
 FOUND_ARROW = pa.schema([("row_key", pa.int64()), ("places", pa.binary())])
 
 
-def _pack(buckets: int, h: list[np.ndarray], keys: list[np.ndarray], place: np.ndarray, known: np.ndarray) -> Iterator[tuple]:
-    """One row for each bucket; entries of one text stand together, so its keys are written once a run."""
-    for bucket, at in C.by_bucket(C.bucket_of(h[0], buckets)):
-        starts = C.runs(*(k[at] for k in keys))
-        yield (
-            bucket,
-            np.concatenate([x[at] for x in h]).tobytes(),
-            np.concatenate([k[at][starts] for k in keys]).tobytes(),
-            C.compress(np.diff(np.append(starts, len(at))).astype(np.int32)),
-            C.compress(place[at].astype(np.int32)),
-            C.compress(np.packbits(known[at])),
-        )
-
-
-def _unpack(rows: pa.Table, lanes: int, n_keys: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    parts: list[list[np.ndarray]] = [[] for _ in range(lanes + n_keys + 2)]
-    for h, keys, run, place, known in zip(*(rows[c].to_pylist() for c in ("hash", "keys", "runs", "place", "known")), strict=True):
-        p = C.expand(place, np.int32)
-        r = C.expand(run, np.int32)
-        values = [*np.frombuffer(h, np.uint64).reshape(lanes, -1), *(np.repeat(k, r) for k in np.frombuffer(keys, np.int64).reshape(n_keys, -1)), p, np.unpackbits(C.expand(known, np.uint8), count=len(p)).astype(bool)]
-        for part, value in zip(parts, values, strict=True):
-            part.append(value)
-    joined = [np.concatenate(p) for p in parts]
-    return joined[:lanes], joined[lanes : lanes + n_keys], joined[-2], joined[-1]
-
-
-def _found(keys: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((places, keys))
-    keys, places = keys[order], places[order]
-    starts = C.runs(keys)
-    ends = np.append(starts[1:], len(keys))
-    for at in range(0, len(starts), 20_000):
-        part = range(at, min(at + 20_000, len(starts)))
-        yield C.arrow_batch(FOUND_ARROW, [(int(keys[starts[i]]), places[starts[i] : ends[i]].astype(np.int32).tobytes()) for i in part])
-
-
 def _repeats(order_by: tuple[np.ndarray, ...], h: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Entries in order of hash then ``order_by``, and the index, in that order, of each entry's first."""
+    """Entries in order of hash, then of ``order_by``, and the index in that order of each entry's first."""
     order = np.lexsort((*order_by[::-1], *h[::-1]))
     starts = C.runs(*(x[order] for x in h))
     return order, np.repeat(starts, np.diff(np.append(starts, len(order))))
 
 
+def _resolve(_: int, table: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """A flush's places, per text: those it knew of and those that the answers add."""
+    parts = [C.unbundle(a) for a in [table, *answers]]
+    keys = np.frombuffer(parts[0].pop(0), np.int64)
+    doc, place = (np.concatenate([C.unsmall(p[i]) for p in parts]) for i in (0, 1))
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    starts = C.runs(doc)
+    ends = np.append(starts[1:], len(doc))
+    for at in range(0, len(starts), 5_000):
+        yield C.arrow_batch(FOUND_ARROW, [(int(keys[doc[s]]), place[s:e].tobytes()) for s, e in zip(starts[at : at + 5_000], ends[at : at + 5_000], strict=True)])
+
+
 def repeated_anchors(docs: DataFrame, window: int = 20, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """Per text (``_row_key``) the places of anchors that occur more than once."""
-    spark = docs.sparkSession
-    size, n = window - period + 1, C.shuffle_partitions(spark)
+    tasks = C.shuffle_partitions(docs.sparkSession)
+    size, n = window - period + 1, PER_TASK * tasks
     if size < 1 or {(a - b) % period for a in cover for b in cover} != set(range(period)):
         raise ValueError("the cover must reach every difference, and the window must be as long as the period")
     on_cover = np.zeros(period, bool)
     on_cover[list(cover)] = True
 
+    def flush(name: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys = np.concatenate([x[0] for x in held])
+        base = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
+        h, place = (np.concatenate([x[i] for x in held]) for i in (1, 3))
+        doc = np.concatenate([x[2] + b for x, b in zip(held, base, strict=True)])
+        # What repeats here is known to repeat: its first occurrence asks and is enough.
+        order, first = _repeats((), [h])
+        twice = np.zeros(len(h), bool)
+        twice[order] = np.bincount(first, minlength=len(h))[first] > 1
+        lead = np.zeros(len(h), bool)
+        lead[order] = first == np.arange(len(h))
+        rows = [(-1, name, C.bundle(keys, C.small(doc[twice]), C.small(place[twice])))]
+        lead = np.flatnonzero(lead)
+        for bucket, at in C.by_bucket(C.bucket_of(h[lead], n)):
+            at = lead[at]
+            rows.append((bucket, name, C.bundle(h[at], C.small(doc[at]), C.small(place[at]))))
+        return C.arrow_batch(C.ASK_ARROW, rows)
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order, first = _repeats((), [h])
-            count = np.bincount(first, minlength=len(h))[first]
-            twice = np.zeros(len(h), bool)
-            twice[order] = count > 1
-            rest = np.ones(len(h), bool)
-            rest[order] = first == np.arange(len(h))
-            # What repeats here is known to repeat: one entry asks on its behalf, the others are passed through.
-            lead, follow = np.flatnonzero(rest), np.flatnonzero(~rest)
-            rows = list(_pack(n, [h[lead]], [key[lead]], place[lead], twice[lead]))
-            yield C.arrow_batch(PACKED_ARROW, rows)
-            if len(follow):
-                k, p = key[follow], place[follow]
-                starts = C.runs(k)
-                run = np.diff(np.append(starts, len(k))).astype(np.int32)
-                yield C.arrow_batch(PACKED_ARROW, [(int(k[0] % n), b"", k[starts].tobytes(), C.compress(run), C.compress(p.astype(np.int32)), b"")])
-
-        size_held = 0
+        count = sequence = 0
         for batch in batches:
-            key = batch.column(batch.schema.get_field_index(KEY)).to_numpy()
-            for lo, _, words in C.word_slices(batch.column(batch.schema.get_field_index("text")), lower=False):
+            names = batch.schema.names
+            key = batch.column(names.index(KEY)).to_numpy()
+            for lo, hi, words in C.word_slices(batch.column(names.index("text")), lower=False):
                 h, at = words.grams(size)
                 keep = on_cover[words.place[at] % period]
                 h, at = h[keep], at[keep]
-                held.append((h, key[lo + words.doc[at]], words.place[at]))
-                size_held += len(h)
-                if size_held >= FLUSH:
-                    yield from flush()
-                    size_held = 0
-        if size_held:
-            yield from flush()
-
-    def repeated(bucket: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        passed = rows.filter(pa.compute.equal(pa.compute.binary_length(rows["hash"]), 0))
-        rows = rows.filter(pa.compute.greater(pa.compute.binary_length(rows["hash"]), 0))
-        keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for k, r, p in zip(*(passed[c].to_pylist() for c in ("keys", "runs", "place")), strict=True):
-            keys.append(np.repeat(np.frombuffer(k, np.int64), C.expand(r, np.int32)))
-            places.append(C.expand(p, np.int32))
-        if rows.num_rows:
-            (h,), (key,), place, known = _unpack(rows, 1, 1)
-            order, first = _repeats((), [h])
-            total = np.bincount(first, minlength=len(h))[first]
-            found = np.zeros(len(h), bool)
-            found[order] = total > 1
-            found |= known
-            keys.append(key[found])
-            places.append(place[found])
-        yield from _found(np.concatenate(keys), np.concatenate(places))
-
-    packed = docs.select(KEY, "text").mapInArrow(anchors, PACKED)
-    return C.map_buckets(packed, "bucket", repeated, FOUND, n)
+                held.append((key[lo:hi], h, words.doc[at], words.place[at]))
+                count += len(h)
+                if count >= FLUSH:
+                    yield flush(C.flush_name(sequence), held)
+                    held, count, sequence = [], 0, sequence + 1
+        if count:
+            yield flush(C.flush_name(sequence), held)
+
+    def answer(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        parts = [C.unbundle(body) for _, body in rows]
+        h = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
+        order, first = _repeats((), [h])
+        found = np.zeros(len(h), bool)
+        found[order] = np.bincount(first, minlength=len(h))[first] > 1
+        at = 0
+        for (name, _), p in zip(rows, parts, strict=True):
+            doc, place = C.unsmall(p[1]), C.unsmall(p[2])
+            keep = found[at : at + len(doc)]
+            at += len(doc)
+            if keep.any():
+                yield name, C.bundle(C.small(doc[keep]), C.small(place[keep]))
+
+    asks = docs.select(KEY, "text").mapInArrow(anchors, C.ASK)
+    return C.ask_all(asks, answer, _resolve, FOUND, tasks)
 
 
 def repeated_windows(marked: DataFrame, window: int = 20, period: int = PERIOD) -> DataFrame:
-    """Per text the places of windows whose words also start earlier.  ``marked``: _row_key, doc_id, text, places (list)."""
-    n = C.shuffle_partitions(marked.sparkSession)
+    """Per text the places of windows whose words also start earlier.
+
+    ``marked``, in a fixed order: _row_key, doc_id, text and ``_places``, the repeated anchors.
+    """
+    tasks = C.shuffle_partitions(marked.sparkSession)
+    n = PER_TASK * tasks
+
+    def flush(name: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, ids = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        base = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
+        h0, h1, place = (np.concatenate([x[i] for x in held]) for i in (2, 3, 5))
+        doc = np.concatenate([x[4] + b for x, b in zip(held, base, strict=True)])
+        order, first = _repeats((ids[doc], place), [h0, h1])
+        start = order[first]
+        # Whatever starts later than the first of this flush is a repeat; one entry of the first asks whether it is.
+        late = np.zeros(len(h0), bool)
+        late[order] = (ids[doc[order]] != ids[doc[start]]) | (place[order] != place[start])
+        rows = [(-1, name, C.bundle(keys, C.small(doc[late]), C.small(place[late])))]
+        asks = np.flatnonzero(~late)
+        # Repeated rows (same id and place) ask each: only these share a start.
+        for bucket, at in C.by_bucket(C.bucket_of(h0[asks], n)):
+            at = asks[at]
+            used, ref = np.unique(doc[at], return_inverse=True)
+            rows.append((bucket, name, C.bundle(h0[at], h1[at], C.small(ids[used], np.int64), C.small(used), C.small(ref), C.small(place[at]))))
+        return C.arrow_batch(C.ASK_ARROW, rows)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            h0, h1, key, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order, first = _repeats((doc, place), [h0, h1])
-            lead = np.sort(order[C.runs(h0[order], h1[order])])
-            # Beyond this batch's first occurrence, those at another start are certainly repeats.
-            same = (doc[order] == doc[order[first]]) & (place[order] == place[order[first]])
-            late = np.sort(order[~same])
-            twin = np.sort(np.setdiff1d(order[same], lead))
-            send = np.sort(np.concatenate([lead, twin]))
-            yield C.arrow_batch(PACKED_ARROW, list(_pack(n, [h0[send], h1[send]], [key[send], doc[send]], place[send], np.zeros(len(send), bool))))
-            if len(late):
-                k, p = key[late], place[late]
-                starts = C.runs(k)
-                run = np.diff(np.append(starts, len(k))).astype(np.int32)
-                yield C.arrow_batch(PACKED_ARROW, [(int(k[0] % n), b"", k[starts].tobytes(), C.compress(run), C.compress(p.astype(np.int32)), b"")])
-
-        size_held = 0
+        count = sequence = 0
         for batch in batches:
             names = batch.schema.names
             key = batch.column(names.index(KEY)).to_numpy()
-            doc = C.ids(batch.column(names.index("doc_id")))
-            marks = batch.column(names.index(PLACES))
+            ids = C.ids(batch.column(names.index("doc_id")))
+            marks = batch.column(names.index(PLACES)).to_pylist()
             for lo, hi, words in C.word_slices(batch.column(names.index("text")), lower=False, lanes=2):
-                total = len(words.starts)
-                edge = np.zeros(total + 1, np.int64)
+                edge = np.zeros(len(words.starts) + 1, np.int64)
                 for i in range(lo, hi):
-                    start, count = words.first[i - lo], words.count[i - lo]
-                    for data in marks[i].as_py() or ():
-                        p = np.frombuffer(data, np.int32)
-                        np.add.at(edge, start + np.maximum(p - period + 1, 0), 1)
-                        np.add.at(edge, start + np.minimum(p, max(count - 1, 0)) + 1, -1)
+                    start, last = words.first[i - lo], max(words.count[i - lo] - 1, 0)
+                    p = np.frombuffer(marks[i], np.int32)
+                    np.add.at(edge, start + np.maximum(p - period + 1, 0), 1)
+                    np.add.at(edge, start + np.minimum(p, last) + 1, -1)
                 wanted = np.cumsum(edge[:-1]) > 0
                 h0, at = words.grams(window, 0)
                 h1, _ = words.grams(window, 1)
                 keep = wanted[at]
                 h0, h1, at = h0[keep], h1[keep], at[keep]
-                held.append((h0, h1, key[lo + words.doc[at]], doc[lo + words.doc[at]], words.place[at]))
-                size_held += len(at)
-                if size_held >= FLUSH // 2:
-                    yield from flush()
-                    size_held = 0
-        if size_held:
-            yield from flush()
-
-    def late(bucket: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        passed = rows.filter(pa.compute.equal(pa.compute.binary_length(rows["hash"]), 0))
-        rows = rows.filter(pa.compute.greater(pa.compute.binary_length(rows["hash"]), 0))
-        keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for k, r, p in zip(*(passed[c].to_pylist() for c in ("keys", "runs", "place")), strict=True):
-            keys.append(np.repeat(np.frombuffer(k, np.int64), C.expand(r, np.int32)))
-            places.append(C.expand(p, np.int32))
-        if rows.num_rows:
-            h, (key, doc), place, _ = _unpack(rows, 2, 2)
-            order, first = _repeats((doc, place), h)
-            repeat = (doc[order] != doc[order[first]]) | (place[order] != place[order[first]])
-            keys.append(key[order[repeat]])
-            places.append(place[order[repeat]])
-        yield from _found(np.concatenate(keys), np.concatenate(places))
-
-    packed = marked.select(KEY, "doc_id", "text", PLACES).mapInArrow(windows, PACKED)
-    return C.map_buckets(packed, "bucket", late, FOUND, n)
-
-
-def _gathered(found: DataFrame) -> DataFrame:
-    return found.groupBy(F.col("row_key").alias(KEY)).agg(F.collect_list("places").alias(PLACES))
+                # 96 bits tell windows apart.
+                held.append((key[lo:hi], ids[lo:hi], h0, h1.astype(np.uint32), words.doc[at], words.place[at]))
+                count += len(at)
+                if count >= FLUSH:
+                    yield flush(C.flush_name(sequence), held)
+                    held, count, sequence = [], 0, sequence + 1
+        if count:
+            yield flush(C.flush_name(sequence), held)
+
+    def answer(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        h0s, h1s, ids, docs, places = [], [], [], [], []
+        for _, body in rows:
+            h0, h1, known, used, ref, place = C.unbundle(body)
+            ref = C.unsmall(ref)
+            h0s.append(np.frombuffer(h0, np.uint64))
+            h1s.append(np.frombuffer(h1, np.uint32))
+            ids.append(C.unsmall(known, np.int64)[ref])
+            docs.append(C.unsmall(used)[ref])
+            places.append(C.unsmall(place))
+        h0, h1, doc_id, place = (np.concatenate(x) for x in (h0s, h1s, ids, places))
+        order, first = _repeats((doc_id, place), [h0, h1])
+        start = order[first]
+        late = np.zeros(len(h0), bool)
+        late[order] = (doc_id[order] != doc_id[start]) | (place[order] != place[start])
+        at = 0
+        for (name, _), doc, p in zip(rows, docs, places, strict=True):
+            keep = late[at : at + len(doc)]
+            at += len(doc)
+            if keep.any():
+                yield name, C.bundle(C.small(doc[keep]), C.small(p[keep]))
+
+    asks = marked.mapInArrow(windows, C.ASK)
+    return C.ask_all(asks, answer, _resolve, FOUND, tasks)
+
+
+def _keyed(found: DataFrame) -> DataFrame:
+    """One row per key: repeated rows can stand in several flushes."""
+    return found.groupBy(F.col("row_key").alias(KEY)).agg(F.max("places").alias(PLACES))
 
 
 def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -237,10 +221,9 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     # Repeated rows share a key: an id with its text.
     docs = docs.drop("kept_text", "n_words", "n_removed", PLACES)
     keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
-    lean = keyed.select(KEY, "doc_id", "text")
-    anchors = _gathered(repeated_anchors(lean, window))
-    marked = lean.join(anchors, KEY)
-    late = C.saved(_gathered(repeated_windows(marked, window)), "substring-repeats")
+    anchors = _keyed(repeated_anchors(keyed, window))
+    # Both joins need all texts by key; with the same columns in the same plan Spark deals them out once.
+    late = _keyed(repeated_windows(keyed.join(anchors, KEY), window))
     joined = keyed.join(late, KEY, "left").drop(KEY)
     source = docs.schema
 
@@ -259,7 +242,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                         n_removed.append(0)
                         kept.append(None)
                         continue
-                    p = np.concatenate([np.frombuffer(x, np.int32) for x in data])
+                    p = np.frombuffer(data, np.int32)
                     edge = np.zeros(count + window + 1, np.int64)
                     np.add.at(edge, p, 1)
                     np.add.at(edge, p + window, -1)
