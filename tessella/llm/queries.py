@@ -10,12 +10,14 @@ from .katz import op2_katz
 from .ngram_join import op9_ngram_join
 from .packing import op4_packing
 from .substring_dedup import op3_substring_dedup
+from .token_counts import op5_token_counts
 from .token_store import op10_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_katz": op2_katz,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
+    "op5_token_counts": op5_token_counts,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_store": op10_token_store,
 }
