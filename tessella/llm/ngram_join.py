@@ -31,11 +31,9 @@ from . import common as C
 from .components import components
 
 COMMON = 64
-FLUSH_BYTES = 6 << 20
-REQUEST_ARROW = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("texts", "ask", "ask_text", "sure", "sure_text", "many", "many_n")])
-REQUEST = "bucket int, texts binary, ask binary, ask_text binary, sure binary, sure_text binary, many binary, many_n binary"
-HELD = "digest long, digest2 long, n int, hashes binary, counts binary"
-HELD_ARROW = pa.schema([("digest", pa.int64()), ("digest2", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+FLUSH = 700_000
+# Buckets that a task takes one after the other.
+PER_TASK = 3
 SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.int64()), ("digest2", pa.int64())])
 _U = np.uint64
 
@@ -85,104 +83,99 @@ def ngram_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest long, digest2 long")
 
 
-def shared_ngrams(docs: DataFrame, size: int) -> DataFrame:
-    """For each distinct set and bucket, the n-grams that other texts hold too, with the number of texts."""
-    buckets = C.shuffle_partitions(docs.sparkSession)
+NODES_ARROW = pa.schema([("digest", pa.int64()), ("digest2", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary())])
+NODES = "digest long, digest2 long, n int, hashes binary"
+
+
+def rare_first(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per set that can have a partner: the n-grams it shares, the rarest first; those of one text only are left out.
+
+    Within this operator a hash is its bucket and 48 bits.
+    """
+    tasks = C.shuffle_partitions(docs.sparkSession)
+    buckets = PER_TASK * tasks
+
+    def flush(name: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        base = np.cumsum([0, *(len(x[2]) for x in held[:-1])])
+        h = np.concatenate([x[0] for x in held])
+        doc = np.concatenate([x[1] + b for x, b in zip(held, base, strict=True)])
+        n, d, d2 = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
+        # Equal sets within the flush ask once.
+        order = np.lexsort((d2, d))
+        one = np.zeros(len(n), bool)
+        one[order[C.runs(d[order], d2[order])]] = True
+        keep = one[doc]
+        h, doc = h[keep], doc[keep]
+        order = np.argsort(h, kind="stable")
+        seen = np.diff(np.append(C.runs(h[order]), len(order)))
+        count = np.empty(len(h), np.int64)
+        count[order] = np.repeat(seen, seen)
+        common = count >= COMMON
+        rows, sure, sure_doc = [], [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for bucket, at in C.by_bucket(C.bucket_of(h, buckets)):
+            few, many = at[~common[at]], at[common[at]]
+            # A common n-gram's count goes once; for its texts here the answer is known.
+            alone, alone_n = np.unique(h[many], return_counts=True)
+            rows.append((bucket, name, C.bundle(C.low48(h[few]), C.small(doc[few]), C.low48(alone), alone_n.astype(np.int32))))
+            sure.append((h[many] & _U((1 << 48) - 1)) | _U(bucket << 48))
+            sure_doc.append(doc[many])
+        rows.append((-1, name, C.bundle(np.stack([d, d2, n]).astype(np.int64), np.concatenate(sure), C.compress(np.concatenate(sure_doc).astype(np.int32)))))
+        return C.arrow_batch(C.ASK_ARROW, rows)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            sizes = [len(x[2]) for x in held]
-            base = np.cumsum([0, *sizes[:-1]])
-            h = np.concatenate([x[0] for x in held])
-            doc = np.concatenate([x[1] + b for x, b in zip(held, base, strict=True)])
-            n, d, d2 = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
-            held.clear()
-            # Equal sets within the batch ask once.
-            order = np.lexsort((d2, d))
-            one = np.zeros(len(n), bool)
-            one[order[C.runs(d[order], d2[order])]] = True
-            one &= n > 0
-            keep = one[doc]
-            h, doc = h[keep], doc[keep]
-            order = np.argsort(h, kind="stable")
-            starts = C.runs(h[order])
-            seen = np.diff(np.append(starts, len(order)))
-            count = np.empty(len(h), np.int64)
-            count[order] = np.repeat(seen, seen)
-            rows: list[tuple] = []
-            for bucket, at in C.by_bucket(C.bucket_of(h, buckets)):
-                used, ref = np.unique(doc[at], return_inverse=True)
-                few = count[at] < COMMON
-                # A common n-gram's count goes once; its texts pass through with the answer known.
-                many, many_n = np.unique(h[at[~few]], return_counts=True)
-                texts = np.stack([d[used], d2[used], n[used]]).astype(np.int64).tobytes()
-                refs = [C.compress(np.diff(ref[x], prepend=0).astype(np.int32)) for x in (few, ~few)]
-                rows.append((bucket, texts, h[at[few]].tobytes(), refs[0], h[at[~few]].tobytes(), refs[1], many.tobytes(), many_n.astype(np.int32).tobytes()))
-            yield C.arrow_batch(REQUEST_ARROW, rows)
-
-        held_bytes = 0
+        count = sequence = 0
         for batch in batches:
             for _, _, words in C.word_slices(batch.column(0), lower=True):
                 held.append(_sets(words, size))
-                held_bytes += 6 * len(words.starts)
-                if held_bytes >= FLUSH_BYTES:
-                    yield from flush()
-                    held_bytes = 0
-        if held:
-            yield from flush()
-
-    def answer(bucket: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        base = 0
-        for texts, ask, ask_text, sure, sure_text, many, many_n in zip(*(rows[c].to_pylist() for c in REQUEST_ARROW.names[1:]), strict=True):
-            table = np.frombuffer(texts, np.int64).reshape(3, -1)
-            refs = [np.cumsum(C.expand(x, np.int32)) + base for x in (ask_text, sure_text)]
-            parts.append((*table, np.frombuffer(ask, _U), refs[0], np.frombuffer(sure, _U), refs[1], np.frombuffer(many, _U), np.frombuffer(many_n, np.int32)))
-            base += table.shape[1]
-        digest, digest2, size_n, ask, ask_text, sure, sure_text, many, many_n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        # Copies of one set count once.
-        order = np.lexsort((digest2[ask_text], digest[ask_text], ask))
-        order = order[C.runs(ask[order], digest[ask_text[order]], digest2[ask_text[order]])]
-        ask, ask_text = ask[order], ask_text[order]
-        unique, inverse = np.unique(np.concatenate([ask, many]), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([np.ones(len(ask)), many_n]), len(unique))
-        h = np.concatenate([ask, sure])
-        doc = np.concatenate([ask_text, sure_text])
-        found = np.concatenate([np.minimum(total[inverse[: len(ask)]], COMMON), np.full(len(sure), COMMON)]).astype(np.int32)
-        keep = np.flatnonzero(found > 1)
-        keep = keep[np.argsort(doc[keep], kind="stable")]
-        doc, h, found = doc[keep], h[keep], found[keep]
+                count += len(held[-1][0])
+                if count >= FLUSH:
+                    yield flush(C.flush_name(sequence), held)
+                    held, count, sequence = [], 0, sequence + 1
+        if count:
+            yield flush(C.flush_name(sequence), held)
+
+    def answer(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        parts = [C.unbundle(body) for _, body in rows]
+        asked = [C.from48(p[0], bucket) for p in parts]
+        h, many = np.concatenate(asked), np.concatenate([C.from48(p[2], bucket) for p in parts])
+        many_n = np.concatenate([np.frombuffer(p[3], np.int32) for p in parts])
+        unique, inverse = np.unique(np.concatenate([h, many]), return_inverse=True)
+        total = np.minimum(np.bincount(inverse, np.concatenate([np.ones(len(h)), many_n]), len(unique)), COMMON)
+        count = total[inverse[: len(h)]].astype(np.uint8)
+        at = 0
+        for (name, _), p, mine in zip(rows, parts, asked, strict=True):
+            n = count[at : at + len(mine)]
+            at += len(mine)
+            keep = n > 1
+            if keep.any():
+                yield name, C.bundle(C.low48(mine[keep]), C.small(C.unsmall(p[1])[keep]), C.compress(n[keep]), np.array([bucket], np.int64))
+
+    def resolve(_: int, table: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+        texts, sure, sure_doc = C.unbundle(table)
+        d, d2, size_n = np.frombuffer(texts, np.int64).reshape(3, -1)
+        hs, docs_, ns = [np.frombuffer(sure, _U)], [C.expand(sure_doc, np.int32)], []
+        ns.append(np.full(len(hs[0]), COMMON, np.uint8))
+        for body in answers:
+            h, doc, n, bucket = C.unbundle(body)
+            hs.append(C.from48(h, int(np.frombuffer(bucket, np.int64)[0])))
+            docs_.append(C.unsmall(doc))
+            ns.append(C.expand(n, np.uint8))
+        h, doc, n = (np.concatenate(x) for x in (hs, docs_, ns))
+        order = np.lexsort((h, n, doc))
+        h, doc = h[order], doc[order]
         starts = C.runs(doc)
         ends = np.append(starts[1:], len(doc))
-        for at in range(0, len(starts), 20_000):
-            yield C.arrow_batch(HELD_ARROW, [(int(digest[doc[s]]), int(digest2[doc[s]]), int(size_n[doc[s]]), h[s:e].tobytes(), found[s:e].tobytes()) for s, e in zip(starts[at : at + 20_000], ends[at : at + 20_000], strict=True)])
-
-    asked = docs.select("text").mapInArrow(ask, REQUEST)
-    return C.map_buckets(asked, "bucket", answer, HELD, buckets)
-
-
-def rare_first(shared: DataFrame, percent: int) -> DataFrame:
-    """Per set that can have a partner: its shared n-grams from the rarest on, those of one text only left out."""
-    gathered = shared.groupBy("digest", "digest2", "n").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("counts").alias("counts"))
-    schema = pa.schema([("digest", pa.int64()), ("digest2", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for digest, digest2, n, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = np.concatenate([np.frombuffer(x, _U) for x in hashes])
-                count = np.concatenate([np.frombuffer(x, np.int32) for x in counts])
-                order = np.lexsort((h, count))
-                order = np.sort(order[np.unique(h[order], return_index=True)[1]]) if len(np.unique(h)) < len(h) else order
-                h, count = h[order], count[order]
-                order = np.lexsort((h, count))
-                if n - len(h) < prefix_length(n, percent):
-                    rows.append((digest, digest2, n, h[order].tobytes()))
-            yield C.arrow_batch(schema, rows)
+        rows = []
+        for s, e in zip(starts, ends, strict=True):
+            i = doc[s]
+            if size_n[i] - (e - s) < prefix_length(size_n[i], percent):
+                rows.append((int(d[i]), int(d2[i]), int(size_n[i]), h[s:e].tobytes()))
+        for at in range(0, len(rows), 1_000):
+            yield C.arrow_batch(NODES_ARROW, rows[at : at + 1_000])
 
-    return gathered.mapInArrow(run, "digest long, digest2 long, n int, hashes binary")
+    asks = docs.select("text").mapInArrow(ask, C.ASK)
+    return C.ask_all(asks, answer, resolve, NODES, tasks).groupBy("digest", "digest2", "n").agg(F.max("hashes").alias("hashes"))
 
 
 PREFIX_ARROW = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("node", pa.binary()), ("part", pa.binary()), ("n", pa.binary()), ("place", pa.binary())])
@@ -202,7 +195,7 @@ def candidates(sets: DataFrame, percent: int, stars: bool) -> DataFrame:
 
     ``stars``: of each group, only pairs with its smallest node.  Otherwise all pairs of different ``part``.
     """
-    buckets = C.shuffle_partitions(sets.sparkSession)
+    buckets = PER_TASK * C.shuffle_partitions(sets.sparkSession)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +212,7 @@ def candidates(sets: DataFrame, percent: int, stars: bool) -> DataFrame:
             if not hs:
                 continue
             h, node, part, n, place = (np.concatenate(x) for x in (hs, nodes, parts, ns, places))
-            yield C.arrow_batch(PREFIX_ARROW, [(bucket, h[at].tobytes(), C.compress(node[at]), C.compress(part[at]), C.compress(n[at]), C.compress(place[at])) for bucket, at in C.by_bucket(C.bucket_of(h, buckets))])
+            yield C.arrow_batch(PREFIX_ARROW, [(bucket, h[at].tobytes(), C.compress(node[at]), C.compress(part[at]), C.compress(n[at]), C.compress(place[at])) for bucket, at in C.by_bucket(C.bucket_of(C.mix(h), buckets))])
 
     def pair(bucket: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([np.frombuffer(x, _U) for x in rows["hash"].to_pylist()])
@@ -261,7 +254,7 @@ def candidates(sets: DataFrame, percent: int, stars: bool) -> DataFrame:
             yield from emit(np.concatenate(lefts), np.concatenate(rights))
 
     spreaded = sets.select("node", "part", "n", "hashes").mapInArrow(spread, PREFIX)
-    return C.map_buckets(spreaded, "bucket", pair, "a long, b long", buckets).distinct()
+    return C.map_buckets(spreaded, "bucket", pair, "a long, b long", buckets // PER_TASK).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -271,13 +264,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ha", "hb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = _U(1 << 63)
+        half, low = _U(1 << 47), _U((1 << 48) - 1)
         for batch in batches:
             rows = []
             for a, b, na, nb, ha, hb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = np.frombuffer(ha, _U), np.frombuffer(hb, _U)
                 need = -((-percent * (na + nb)) // (100 + percent))
-                low_x, low_y = int((x < half).sum()), int((y < half).sum())
+                low_x, low_y = int(((x & low) < half).sum()), int(((y & low) < half).sum())
                 # Suffix filter: what the halves on either side of a pivot could share at most.
                 if min(low_x, low_y) + min(len(x) - low_x, len(y) - low_y) < need:
                     continue
@@ -297,7 +290,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     # One node per distinct set, named by its smallest id, or by its digest where no row has an id.
     names = rows.where("n > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     names = names.withColumn("node", F.coalesce("first_id", -F.shiftrightunsigned("digest", 1) - 1))
-    ordered = rare_first(shared_ngrams(docs, size), percent)
+    ordered = rare_first(docs, size, percent)
     sets = C.saved(ordered.join(names, ["digest", "digest2"]).select("digest", "digest2", "node", "n", "hashes"), "ngram-nodes")
     apart = sets.withColumn("part", F.col("node"))
     near = C.saved(verified(candidates(apart, percent, stars=True), sets, percent), "ngram-links")
