@@ -12,8 +12,10 @@ from .packing import op4_packing
 from .substring_dedup import op3_substring_dedup
 from .token_counts import op5_token_counts
 from .token_store import op10_token_store
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_katz": op2_katz,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
