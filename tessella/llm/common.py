@@ -81,6 +81,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def schema_with(df: DataFrame, **columns: str) -> str:
+    """DDL of a frame's columns and further ones."""
+    kinds = [(f.name, f.dataType.simpleString()) for f in df.schema.fields] + list(columns.items())
+    return ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in kinds)
+
+
 def compress(array: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
 

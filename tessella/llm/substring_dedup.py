@@ -225,7 +225,6 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     # Both joins need all texts by key; with the same columns in the same plan Spark deals them out once.
     late = _keyed(repeated_windows(keyed.join(anchors, KEY), window))
     joined = keyed.join(late, KEY, "left").drop(KEY)
-    source = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,8 +253,7 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
             fields += [pa.field("kept_text", pa.string()), pa.field("n_words", pa.int64()), pa.field("n_removed", pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], schema=pa.schema(fields))
 
-    out = source.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
-    return joined.mapInArrow(cut, out)
+    return joined.mapInArrow(cut, C.schema_with(docs, kept_text="string", n_words="long", n_removed="long"))
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
