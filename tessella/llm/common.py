@@ -123,10 +123,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a run of texts: for each its hash, its text's ordinal and its place there."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, lanes: int = 1):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, lanes: int = 1, separators: np.ndarray = _IS_SEP):
         n = len(data)
         self.n_docs = len(offsets) - 1
-        sep = _IS_SEP[data]
+        sep = separators[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.empty(n, bool)
@@ -174,7 +174,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def word_slices(column: pa.Array, lower: bool, lanes: int = 1) -> Iterator[tuple[int, int, Words]]:
+def word_slices(column: pa.Array, lower: bool, lanes: int = 1, separators: np.ndarray = _IS_SEP) -> Iterator[tuple[int, int, Words]]:
     """Cut a column into runs of texts of about SLICE_BYTES and hash the words of each."""
     if not len(column):
         return
@@ -184,7 +184,7 @@ def word_slices(column: pa.Array, lower: bool, lanes: int = 1) -> Iterator[tuple
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
         part = data[offsets[at] : offsets[to]]
-        yield at, to, Words(part, offsets[at : to + 1] - offsets[at], lower, lanes)
+        yield at, to, Words(part, offsets[at : to + 1] - offsets[at], lower, lanes, separators)
         at = to
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op7_decontamination
 from .katz import op2_katz
 from .ngram_join import op9_ngram_join
 from .packing import op4_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_store": op10_token_store,
