@@ -11,6 +11,7 @@ from .katz import op2_katz
 from .ngram_join import op9_ngram_join
 from .packing import op4_packing
 from .quality import op8_quality
+from .spotsigs import op6_spotsigs
 from .substring_dedup import op3_substring_dedup
 from .token_counts import op5_token_counts
 from .token_store import op10_token_store
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_spotsigs": op6_spotsigs,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
