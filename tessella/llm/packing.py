@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .token_ids import encoder, groups
 
-WINDOW = 512
+WINDOW = 256
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64())])
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -40,8 +40,8 @@ class Packer:
         self.size, self.segments, self.loss = limits
         self.sequence = first_sequence
         self.window = window
-        # Waiting remainders: vectors beside their pieces; a slot without tokens is free.
-        self.vectors = np.zeros((2 * window, 3))
+        # Waiting remainders: their sizes beside their pieces (a segment each); a slot without tokens is free.
+        self.tokens, self.bearing = np.zeros(2 * window), np.zeros(2 * window)
         self.waiting: list[tuple | None] = [None] * (2 * window)
         self.free = list(range(2 * window - 1, -1, -1))
         self.rows: list[tuple] = []
@@ -87,13 +87,13 @@ class Packer:
             self._fill()
         slot = self.free.pop()
         n = len(piece[1]) // 4
-        self.vectors[slot] = (n, 1, n if piece[2] is None else piece[2].sum())
+        self.tokens[slot], self.bearing[slot] = n, n if piece[2] is None else piece[2].sum()
         self.waiting[slot] = piece
 
     def _take(self, slot: int) -> tuple:
         piece = self.waiting[slot]
         self.waiting[slot] = None
-        self.vectors[slot] = 0
+        self.tokens[slot] = self.bearing[slot] = 0
         self.free.append(slot)
         return piece
 
@@ -102,17 +102,18 @@ class Packer:
         room = np.array([size or self.size, self.segments, self.loss], float)
         offset = 0
         while room[0] > 0 and room[1] > 0:
-            held = self.vectors[:, 0] > 0
-            fits = held & (self.vectors <= room).all(1)
-            if fits.any():
-                score = (self.vectors / self.limits) @ (room / self.limits)
-                slot = int(np.argmax(np.where(fits, score, -1)))
+            # The dot product of sizes and room, both as shares of the limits.
+            weight = room / self.limits**2
+            score = self.tokens * weight[0] + self.bearing * weight[2] + weight[1]
+            score[(self.tokens > room[0]) | (self.bearing > room[2]) | (self.tokens == 0)] = -1
+            slot = int(score.argmax())
+            if score[slot] > 0:
                 piece = self._take(slot)
             else:
                 # Nothing whole fits: the longest example is cut to the gap.
-                if not held.any():
+                slot = int(self.tokens.argmax())
+                if self.waiting[slot] is None:
                     break
-                slot = int(np.argmax(self.vectors[:, 0]))
                 n = self._fit(self.waiting[slot], room)
                 if n == 0:
                     break
@@ -126,7 +127,7 @@ class Packer:
         self.sequence += 1
 
     def finish(self) -> None:
-        while (left := int(self.vectors[:, 0].sum())) > 0:
+        while (left := int(self.tokens.sum())) > 0:
             self._fill(self.size if left >= self.size else 1 << (left.bit_length() - 1))
 
     def drain(self) -> list[tuple]:

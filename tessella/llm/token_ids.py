@@ -1,7 +1,7 @@
 """Token ids of whole texts, one library call per distinct piece.
 
 A byte-level BPE encodes the pieces that its splitting pattern cuts independently of each other.  A worker keeps the ids
-of the pieces it has met; new pieces of a batch go to the library together.  Texts that hold the string of an added token
+of the pieces it has met; new ones go to the library's model itself, which spares its offsets.  Texts that hold the string of an added token
 go to the library whole, as it cuts these strings out before splitting.
 """
 
@@ -9,19 +9,42 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import regex
 
+# Fixed value: the byte-level splitting pattern.  Alternatives that cannot begin alike stand in order of frequency.
+SPLIT = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The most pieces that a worker keeps: about 150 MB.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins of bytes in byte-level vocabularies: printable bytes stand for themselves, others follow 255."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Pieces(dict):
+    """Ids of pieces, asked of the library's model when first met."""
+
+    def __init__(self, tokenize):
+        self.tokenize = tokenize
+        self.stand_in = {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        # Each byte as its stand-in, the alphabet of the vocabulary.
+        letters = piece.encode().decode("latin-1").translate(self.stand_in)
+        ids = self[piece] = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        return ids
 
 
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -31,8 +54,9 @@ class Encoder:
         # Only this kind is cut into pieces here; others go to the library whole.
         kind = described["pre_tokenizer"] or {}
         plain = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and described["normalizer"] is None
-        self.split = regex.compile(public_tokenizers.PATTERN) if plain else None
-        self.pieces: dict[str, bytes] = {}
+        plain = plain and described["model"]["type"] == "BPE"
+        self.split = regex.compile(SPLIT) if plain else None
+        self.pieces = Pieces(self.library.model.tokenize)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -41,15 +65,10 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.split is None:
             return self._whole(texts)
-        cut = [None if any(a in t for a in self.added) else self.split.findall(t) for t in texts]
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-        new = list(set().union(*(p for p in cut if p)).difference(self.pieces))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.pieces.update(zip(part, self._whole(part), strict=True))
-        get = self.pieces.__getitem__
-        return [self._whole([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
+        get, split = self.pieces.__getitem__, self.split.findall
+        return [self._whole([t])[0] if any(a in t for a in self.added) else b"".join(map(get, split(t))) for t in texts]
 
 
 @lru_cache(maxsize=4)
