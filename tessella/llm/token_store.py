@@ -69,7 +69,7 @@ def move_shared(source: str, target: str) -> None:
 class Writer:
     """Collects documents into frames and writes them; ``close`` adds the seek table."""
 
-    def __init__(self, file, frame_bytes: int = FRAME_BYTES, level: int = 3):
+    def __init__(self, file, frame_bytes: int = FRAME_BYTES, level: int = 1):
         self.file, self.frame_bytes = file, frame_bytes
         self.compressor = zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.table: list[tuple[int, int, int]] = []
