@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .token_ids import byte_alphabet
 
 CHUNK = 64
 SLICE = 1 << 20
 # The most pieces and states that a worker keeps.
-PIECES, STATES = 400_000, 150_000
+PIECES, STATES = 800_000, 400_000
 COUNTS = "doc_id long, n_bytes long, n_tokens long"
 COUNTS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -150,13 +151,6 @@ def piece_starts(classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins of bytes in byte-level vocabularies: printable bytes stand for themselves, others follow 255."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Counter:
     """The lazily compiled counting transducer of one vocabulary."""
 
@@ -167,7 +161,7 @@ class Counter:
         if described["model"]["type"] != "BPE" or kind["type"] != "ByteLevel" or kind.get("add_prefix_space") or described["normalizer"]:
             raise ValueError("a byte-level BPE without normalizer or added space is needed")
         self.added = [t["content"] for t in described["added_tokens"]]
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         added = set(self.added)
         as_bytes = lambda t: bytes(alphabet[c] for c in t)
         self.tokens = {as_bytes(t) for t in described["model"]["vocab"] if t not in added}
