@@ -8,6 +8,8 @@ therefore moves nearly incompressible hash bytes only, and a bucket's memory is
 from __future__ import annotations
 
 import ctypes
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -73,9 +75,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when it finds their frames collected.
+
+    Twice, as a frame's plan is let go of only after the frame itself.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
+    release(spark)
     path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 PER_TASK = 3
 TOP = 5
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
@@ -124,7 +124,7 @@ def histories(token: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return history
 
 
-def flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Flush]]:
+def flushes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, Flush]]:
     """Batches of (doc_id, train, text, part).  ``part`` numbers the input's partition, also where a task's number differs."""
     held: list[tuple] = []
     count = sequence = part = 0
@@ -134,7 +134,7 @@ def flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Flush]]:
         for lo, hi, words in C.word_slices(batch.column(2), lower=True):
             held.append((batch.column(0).slice(lo, hi - lo), train[lo:hi], words.hash[0], words.count))
             count += len(words.starts) + hi - lo
-            if count >= FLUSH_TOKENS:
+            if count >= size:
                 yield (part << 32) + sequence, Flush(held)
                 held, count, sequence = [], 0, sequence + 1
     if held:
@@ -159,7 +159,7 @@ def count_tables(docs: DataFrame, min_count: int) -> DataFrame:
     buckets = PER_TASK * tasks
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, flush in flushes(batches):
+        for name, flush in flushes(batches, FLUSH_TOKENS):
             word_train, h, pair_train, _, _ = _distinct(flush)
             of_word, of_pair = dict(C.by_bucket(C.bucket_of(flush.hash, buckets))), dict(C.by_bucket(C.bucket_of(h, buckets)))
             rows, none = [], np.zeros(0, np.int64)
@@ -169,7 +169,7 @@ def count_tables(docs: DataFrame, min_count: int) -> DataFrame:
             yield C.arrow_batch(C.ASK_ARROW, rows)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, flush in flushes(batches):
+        for name, flush in flushes(batches, FLUSH_TOKENS):
             ids = C.ids(flush.doc_id)
             yield C.arrow_batch(C.ASK_ARROW, [(-1, name, C.bundle(ids, flush.train, C.compress(flush.n_words.astype(np.int32)), C.compress(flush.token), flush.hash))])
 
@@ -356,6 +356,7 @@ def katz_scores(docs: DataFrame, train, min_count: int = 2) -> DataFrame:
     C.limit_batches(docs.sparkSession)
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")
     states = C.saved(count_tables(lean, min_count), "katz-counts")
+    C.release(docs.sparkSession)
     # A state is a few MB: few at a time.
     C.limit_batches(docs.sparkSession, 4)
     model = _model(states)
