@@ -1,8 +1,9 @@
 """SpotSigs document fingerprints, in DataFrame functions only.
 
-Wherever a common word (an anchor) stands in a text, the anchor and the next ``chain`` content words, other anchors skipped,
-form a signature.  Texts of fewer than ``short`` words also take every word with its follower, as they may hold no
-anchor.  A fingerprint is the sorted set of signature hashes, or its ``size`` smallest (a bottom-k sketch) for longer texts;
+Wherever a common word (an anchor) stands in a text, the anchor and the next ``chain`` content words
+form a signature; up to ``SKIP`` other anchors in a row are skipped.  Short texts, lists and tables hold few common words, so every word, alone and with its follower, is a
+signature too in texts of up to ``short`` distinct words, and in richer ones the share short / distinct words of them, by least hash: about
+as many in any text, and the same ones in similar texts.  A fingerprint is the sorted set of signature hashes, or its ``size`` smallest (a bottom-k sketch) for longer texts;
 up to ``size`` signatures it is the whole set.
 
 Likeness is the Jaccard similarity of two fingerprints: exact for whole sets, the bottom-k estimate otherwise.  Sets whose
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CHAIN, SHORT, SIZE = 2, 100, 128
+CHAIN, SHORT, SIZE, SKIP = 2, 100, 128, 8
 MARK = "\u0001"
 # Common words of four languages, the anchors.
 ANCHORS = (
@@ -39,11 +40,16 @@ def signatures(words: Column, chain: int = CHAIN, short: int = SHORT) -> Column:
     """The distinct signature hashes of a list of words, ascending.  ``words`` is a column that exists: it is read per element."""
     marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*ANCHORS), F.concat(F.lit(MARK), w)).otherwise(w)), " ")
     # From each anchor on, through the next content words; the look-ahead lets signatures overlap.
-    content, skipped = f"(?: [^{MARK} ]+)", f"(?: {MARK}[^ ]+)*"
+    content, skipped = f"(?: [^{MARK} ]+)", f"(?: {MARK}[^ ]+){{0,{SKIP}}}+"
     spots = F.regexp_extract_all(marked, F.lit(f"{MARK}(?=([^ ]+(?:{skipped}{content}){{{chain}}}))"), F.lit(1))
     chains = F.transform(spots, lambda s: F.xxhash64(F.regexp_replace(s, f" {MARK}[^ ]+", "")))
-    followed = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 2), " "), F.lit(2)))
-    few = F.when((F.size(words) > 0) & (F.size(words) < short), followed).otherwise(F.array().cast("array<bigint>"))
+    followed = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i)))
+    alone = F.transform(words, lambda w: F.xxhash64(w, F.lit(1)))
+    # One pass with the bound beside the hashes: an expression inside a lambda would be evaluated per element.
+    bound = F.floor(1000 * short / F.greatest(F.size(F.array_distinct(words)), F.lit(1)))
+    bounded = F.arrays_zip(F.concat(followed, alone).alias("h"), F.array_repeat(bound, F.size(words) + F.greatest(F.size(words), F.lit(1))).alias("b"))
+    kept = F.transform(F.filter(bounded, lambda z: F.pmod(z["h"], F.lit(1000)) <= z["b"]), lambda z: z["h"])
+    few = F.when(F.size(words) > 0, kept).otherwise(F.array().cast("array<bigint>"))
     return F.sort_array(F.array_distinct(F.concat(chains, few)))
 
 
@@ -63,9 +69,17 @@ def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
     return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.size(union))
 
 
-def with_next_text(docs: DataFrame) -> DataFrame:
+def with_sketch(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the sketch of the column ``text``."""
+    words = rows.withColumn("_words", word_list(F.col(text)))
+    return words.withColumn(name, sketch(signatures(F.col("_words")))).drop("_words")
+
+
+def with_next_text(docs: DataFrame, derived: str | None = None) -> DataFrame:
     """(doc_id, text, next_text): the text that follows in descending order of ids; after the last, the first.
 
+    With ``derived``, also the sketch of each text under that name, and of the next one under next_ and it.
+
     Ranges of ids are dealt to tasks; each range also gets the first row of the range that follows, so no window spans
     the table.  The bounds are a number per shuffle partition.
     """
@@ -93,8 +107,13 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     guests = firsts.select("bucket", F.coalesce(F.lead("text").over(down), F.first("text").over(whole)).alias("text"))
     guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("key"), "bucket", F.lit(True).alias("guest"))
     dealt = rows.withColumn("guest", F.lit(False)).unionByName(guests).repartition(n, "bucket")
+    columns = ["text"]
+    if derived:
+        dealt = with_sketch(dealt, "text", derived)
+        columns.append(derived)
     order = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), F.desc("text"))
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("not guest").select("doc_id", "text", "next_text")
+    led = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
+    return led.where("not guest").select("doc_id", *columns, *(f"next_{c}" for c in columns))
 
 
 def near_pairs(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -124,15 +143,13 @@ def near_pairs(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def op6_spotsigs(spark, sf_dir: str) -> DataFrame:
-    pairs = with_next_text(C.documents(spark, sf_dir))
+    pairs = with_next_text(C.documents(spark, sf_dir), "own")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    made = pairs.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
-    texts = {"own": "text", "of_edited": "edited", "of_next": "next_text"}
-    made = made.select("doc_id", "n_chars", "edited", *(word_list(F.col(text)).alias(f"{name}_words") for name, text in texts.items()))
-    made = made.select("doc_id", "n_chars", "edited", *(sketch(signatures(F.col(f"{name}_words"))).alias(name) for name in texts))
+    made = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
+    made = with_sketch(made, "edited", "of_edited")
     return made.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("of_edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("of_edited")).alias("near_edited"), likeness(F.col("own"), F.col("of_next")).alias("near_next"),
+        likeness(F.col("own"), F.col("of_edited")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
