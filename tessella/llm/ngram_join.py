@@ -290,8 +290,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     # One node per distinct set, named by its smallest id, or by its digest where no row has an id.
     names = rows.where("n > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     names = names.withColumn("node", F.coalesce("first_id", -F.shiftrightunsigned("digest", 1) - 1))
-    ordered = rare_first(docs, size, percent)
-    sets = C.saved(ordered.join(names, ["digest", "digest2"]).select("digest", "digest2", "node", "n", "hashes"), "ngram-nodes")
+    sets = C.saved(rare_first(docs, size, percent).join(names, ["digest", "digest2"]).select("digest", "digest2", "node", "n", "hashes"), "ngram-nodes")
     apart = sets.withColumn("part", F.col("node"))
     near = C.saved(verified(candidates(apart, percent, stars=True), sets, percent), "ngram-links")
     parts = components(near)
