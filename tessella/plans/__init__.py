@@ -1,6 +1,6 @@
 """Named queries over the tables, with their SQL."""
 
-from . import views  # noqa: F401  registers its queries
+from . import more, views  # noqa: F401  register their queries
 from .catalogue import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
