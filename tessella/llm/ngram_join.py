@@ -31,6 +31,8 @@ from . import common as C
 from .components import components
 
 COMMON = 64
+# Ids are below this.
+UNNAMED = 1 << 62
 FLUSH = 700_000
 # Buckets that a task takes one after the other.
 PER_TASK = 3
@@ -287,9 +289,9 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     C.limit_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = C.saved(ngram_sets(docs, size), "ngram-sets")
-    # One node per distinct set, named by its smallest id, or by its digest where no row has an id.
-    names = rows.where("n > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    names = names.withColumn("node", F.coalesce("first_id", -F.shiftrightunsigned("digest", 1) - 1))
+    # One node per distinct set, named by its smallest id, or by its digest, above all ids, where no row has one.
+    names = rows.where("n > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("first_id"))
+    names = names.withColumn("node", F.coalesce("first_id", F.lit(UNNAMED) + F.shiftrightunsigned("digest", 2))).drop("first_id")
     sets = C.saved(rare_first(docs, size, percent).join(names, ["digest", "digest2"]).select("digest", "digest2", "node", "n", "hashes"), "ngram-nodes")
     apart = sets.withColumn("part", F.col("node"))
     near = C.saved(verified(candidates(apart, percent, stars=True), sets, percent), "ngram-links")
@@ -297,9 +299,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     apart = sets.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "n", "hashes")
     rest = verified(candidates(apart, percent, stars=False), sets, percent)
     parts = C.saved(components(near.unionByName(rest)), "ngram-components")
-    joined = names.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = joined.join(least, "component").select("digest", "digest2", "component_id")
+    component = F.coalesce("component", "node")
+    named = names.join(parts, "node", "left").select("digest", "digest2", F.when(component < UNNAMED, component).alias("component_id"))
     out = rows.join(named, ["digest", "digest2"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
