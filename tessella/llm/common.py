@@ -8,8 +8,6 @@ therefore moves nearly incompressible hash bytes only, and a bucket's memory is
 from __future__ import annotations
 
 import ctypes
-import gc
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -61,9 +59,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def limit_batches(spark: SparkSession, rows: int = 1000) -> None:
+def limit_batches(spark: SparkSession, size: str = "8m") -> None:
     """Keep Arrow batches small: texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -71,27 +69,22 @@ def scratch(spark: SparkSession, label: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so when it finds their frames collected.
-
-    Twice, as a frame's plan is let go of only after the frame itself.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.25)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
+    """Cut the lineage: write to the shared folder and read back.  The step's shuffle files go as soon as it is done."""
     spark = df.sparkSession
-    release(spark)
     path = scratch(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -283,6 +276,16 @@ def unbundle(body: bytes) -> list[memoryview]:
     return out
 
 
+def planes(array: np.ndarray) -> bytes:
+    """Compressed byte planes of 32-bit numbers that are mostly small: the high bytes cost next to nothing."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(array.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def from_planes(data) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def small(array: np.ndarray, dtype=np.int32) -> bytes:
     """Compressed differences: for values that rise, or repeat."""
     return compress(np.diff(array.astype(dtype), prepend=array.dtype.type(0)).astype(dtype))

@@ -103,7 +103,12 @@ class Flush:
         self.doc_id = pa.concat_arrays([x[0] for x in held])
         self.train = np.concatenate([x[1] for x in held])
         self.n_words = np.concatenate([x[3] for x in held])
-        words, token = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
+        words, token, count = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True, return_counts=True)
+        # The commonest words get the smallest numbers, which pack best.
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        words, token = words[order], rank[token]
         self.hash = np.concatenate([np.array([START, END], _U), words])
         # Tokens with the end after each text, and the history of each.
         ends = np.cumsum(self.n_words + 1) - 1
@@ -165,20 +170,20 @@ def count_tables(docs: DataFrame, min_count: int) -> DataFrame:
             rows, none = [], np.zeros(0, np.int64)
             for bucket in sorted(of_word.keys() | of_pair.keys()):
                 w, p = of_word.get(bucket, none), of_pair.get(bucket, none)
-                rows.append((bucket, name, C.bundle(flush.hash[w], C.compress(word_train[w].astype(np.int32)), C.low48(h[p]), C.compress(pair_train[p].astype(np.int32)))))
+                rows.append((bucket, name, C.bundle(C.low48(flush.hash[w]), C.compress(word_train[w].astype(np.int32)), C.low48(h[p]), C.compress(pair_train[p].astype(np.int32)))))
             yield C.arrow_batch(C.ASK_ARROW, rows)
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, flush in flushes(batches, FLUSH_TOKENS):
             ids = C.ids(flush.doc_id)
-            yield C.arrow_batch(C.ASK_ARROW, [(-1, name, C.bundle(ids, flush.train, C.compress(flush.n_words.astype(np.int32)), C.compress(flush.token), flush.hash))])
+            yield C.arrow_batch(C.ASK_ARROW, [(-1, name, C.bundle(ids, flush.train, C.planes(flush.n_words), C.planes(flush.token), flush.hash))])
 
     def answer(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         parts = [C.unbundle(body) for _, body in rows]
         stats = np.zeros(STATS, np.int64)
         totals, owners = [], []
         for kind in (0, 2):
-            h = np.concatenate([np.frombuffer(p[0], _U) if kind == 0 else C.from48(p[2]) for p in parts])
+            h = np.concatenate([C.from48(p[kind]) for p in parts])
             n = np.concatenate([C.expand(p[kind + 1], np.int32) for p in parts]).astype(np.int64)
             order = np.argsort(h, kind="stable")
             starts = C.runs(h[order])
@@ -190,7 +195,7 @@ def count_tables(docs: DataFrame, min_count: int) -> DataFrame:
             totals.append(total)
             owners.append(owner)
             if kind == 0:
-                sums = sums[h[order][starts] != START]
+                sums = sums[h[order][starts] != START & _U((1 << 48) - 1)]
                 stats[0], stats[1] = sums.sum(), (sums > 0).sum()
                 stats[4 : 4 + TOP + 2] = np.bincount(sums[sums <= TOP + 1], minlength=TOP + 2)
             else:
@@ -198,7 +203,7 @@ def count_tables(docs: DataFrame, min_count: int) -> DataFrame:
                 stats[4 + TOP + 2 :] = np.bincount(sums[sums <= TOP + 1], minlength=TOP + 2)
         w = p = 0
         for k, ((name, _), part) in enumerate(zip(rows, parts, strict=True)):
-            n_words, n_pairs = len(part[0]) // 8, len(part[2]) // 6
+            n_words, n_pairs = len(part[0]) // 6, len(part[2]) // 6
             pairs = totals[1][p : p + n_pairs]
             in_model = pairs >= max(min_count, 1)
             # The flush that asks first owns a pair of the model: the lowest bit.
@@ -209,7 +214,7 @@ def count_tables(docs: DataFrame, min_count: int) -> DataFrame:
     def resolve(name: int, table: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, train, n_words, token, h = C.unbundle(table)
         flush = Flush.__new__(Flush)
-        flush.train, flush.n_words, flush.token, flush.hash = np.frombuffer(train, bool), C.expand(n_words, np.int32), C.expand(token, np.int32), np.frombuffer(h, _U)
+        flush.train, flush.n_words, flush.token, flush.hash = np.frombuffer(train, bool), C.from_planes(n_words), C.from_planes(token), np.frombuffer(h, _U)
         flush.text = np.repeat(np.arange(len(flush.n_words)), flush.n_words + 1)
         _, pairs, _, codes, pair = _distinct(flush)
         word_count, pair_count = np.zeros(len(flush.hash), np.int64), np.zeros(len(pairs), np.int64)
@@ -225,10 +230,17 @@ def count_tables(docs: DataFrame, min_count: int) -> DataFrame:
             if len(more):
                 stats += np.frombuffer(more, np.int64)
         owned = np.flatnonzero(pair_count & 1)
+        of_token = (pair_count >> 1)[pair]
+        # Words that can be histories of the model and are backed off from here, or own mass: they will ask for their weight.
+        used = np.zeros(len(flush.hash), bool)
+        used[flush.histories()[of_token == 0]] = True
+        used &= word_count >= max(min_count, 1)
+        used[codes[owned] >> 32] = True
+        asked = np.flatnonzero(used)
         body = C.bundle(
-            ids, train, C.compress(flush.n_words), C.compress(flush.token), flush.hash, C.compress(word_count),
+            ids, train, C.planes(flush.n_words), C.planes(flush.token), C.compress(word_count), C.small(asked), flush.hash[asked],
             # Of each token the count of its pair; the pairs that this flush owns, with their counts.
-            C.compress((pair_count >> 1)[pair].astype(np.int64)), C.compress(codes[owned]), C.compress(pair_count[owned] >> 1),
+            C.compress(of_token), C.small(codes[owned], np.int64), C.compress(pair_count[owned] >> 1),
         )
         yield C.arrow_batch(STATE_ARROW, [(name, body, stats.tobytes())])
 
@@ -257,27 +269,20 @@ class State:
     """A flush with its counts."""
 
     def __init__(self, body: bytes):
-        ids, train, n_words, token, h, words, pairs, codes, owned = C.unbundle(body)
+        ids, train, n_words, token, words, asked, h, pairs, codes, owned = C.unbundle(body)
         self.ids, self.train = np.frombuffer(ids, np.int64), np.frombuffer(train, bool)
-        self.n_words, self.token, self.hash = C.expand(n_words, np.int32), C.expand(token, np.int32), np.frombuffer(h, _U)
+        self.n_words, self.token = C.from_planes(n_words), C.from_planes(token)
+        self.asked, self.hash = C.unsmall(asked), np.frombuffer(h, _U)
         self.word_count, self.pair_count = C.expand(words, np.int64), C.expand(pairs, np.int64)
-        self.owned, self.owned_count = C.expand(codes, np.int64), C.expand(owned, np.int64)
+        self.owned, self.owned_count = C.unsmall(codes, np.int64), C.expand(owned, np.int64)
         self.history = histories(self.token, self.n_words)
         self.ends = np.cumsum(self.n_words + 1)
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.ends - self.n_words - 1) if len(self.ends) else np.zeros(0)
 
-    def asked(self, min_count: int) -> np.ndarray:
-        """The words of this flush that can be histories of the model and are backed off from here, or own mass."""
-        used = np.zeros(len(self.hash), bool)
-        used[self.history[self.pair_count == 0]] = True
-        used &= self.word_count >= max(min_count, 1)
-        used[self.owned >> 32] = True
-        return np.flatnonzero(used)
 
-
-def score_texts(states: DataFrame, model: Model, min_count: int) -> DataFrame:
+def score_texts(states: DataFrame, model: Model) -> DataFrame:
     tasks = C.shuffle_partitions(states.sparkSession)
     buckets = PER_TASK * tasks
 
@@ -286,12 +291,10 @@ def score_texts(states: DataFrame, model: Model, min_count: int) -> DataFrame:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 state = State(body)
                 first, word = state.owned >> 32, state.owned & 0xFFFFFFFF
-                seen = np.bincount(first, model.pair(state.owned_count, state.word_count[first]), len(state.hash))
-                below = np.bincount(first, model.unigram(state.word_count[word]), len(state.hash))
-                asked = state.asked(min_count)
+                seen = np.bincount(first, model.pair(state.owned_count, state.word_count[first]), len(state.word_count))[state.asked]
+                below = np.bincount(first, model.unigram(state.word_count[word]), len(state.word_count))[state.asked]
                 rows = []
-                for bucket, at in C.by_bucket(C.bucket_of(state.hash[asked], buckets)):
-                    at = asked[at]
+                for bucket, at in C.by_bucket(C.bucket_of(state.hash, buckets)):
                     has = np.flatnonzero(below[at] > 0)
                     rows.append((bucket, name, C.bundle(state.hash[at], C.small(has), seen[at[has]], below[at[has]])))
                 yield C.arrow_batch(C.ASK_ARROW, rows)
@@ -307,15 +310,14 @@ def score_texts(states: DataFrame, model: Model, min_count: int) -> DataFrame:
                 known = state.per_text((state.word_count[state.token] > 0).astype(np.int64))
                 base = state.per_text(np.log10(state.word_count[state.token] + 1))
                 # Histories that are backed off from, numbered as they were asked for; others have weight 1.
-                asked = state.asked(min_count)
-                number = np.full(len(state.hash), -1, np.int32)
-                number[asked] = np.arange(len(asked))
+                number = np.full(len(state.word_count), -1, np.int32)
+                number[state.asked] = np.arange(len(state.asked))
                 text = np.repeat(np.arange(len(state.ends)), state.n_words + 1)[off]
                 history = number[state.history[off]]
                 text, history = text[history >= 0], history[history >= 0]
-                sizes = [len(at) for at in dict(C.by_bucket(C.bucket_of(state.hash[asked], buckets))).values()]
-                places = np.concatenate([at for _, at in C.by_bucket(C.bucket_of(state.hash[asked], buckets))]) if sizes else np.zeros(0, np.int64)
-                yield C.arrow_batch(C.ASK_ARROW, [(-1, name, C.bundle(state.ids, state.train, state.n_words, known.astype(np.int64), base, score, C.small(text), C.compress(history), C.compress(places.astype(np.int32))))])
+                # Answers come by bucket: where each belongs.
+                places = np.concatenate([np.zeros(0, np.int64), *(at for _, at in C.by_bucket(C.bucket_of(state.hash, buckets)))])
+                yield C.arrow_batch(C.ASK_ARROW, [(-1, name, C.bundle(state.ids, state.train, state.n_words, known.astype(np.int64), base, score, C.small(text), C.planes(history), C.planes(places)))])
 
     def answer(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         parts = [C.unbundle(body) for _, body in rows]
@@ -337,12 +339,12 @@ def score_texts(states: DataFrame, model: Model, min_count: int) -> DataFrame:
     def resolve(_: int, table: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, train, n_words, known, base, score, text, history, places = C.unbundle(table)
         ids, train, n_words = np.frombuffer(ids, np.int64), np.frombuffer(train, bool), np.frombuffer(n_words, np.int32)
-        places = C.expand(places, np.int32)
+        places = C.from_planes(places)
         alpha = np.ones(len(places))
         parts = sorted(((int(np.frombuffer(b, np.int64)[0]), a) for b, a in map(C.unbundle, answers)), key=lambda x: x[0])
         if parts:
             alpha[places] = np.concatenate([np.frombuffer(a) for _, a in parts])
-        weight = np.bincount(C.unsmall(text), np.log10(alpha)[C.expand(history, np.int32)], len(ids))
+        weight = np.bincount(C.unsmall(text), np.log10(alpha)[C.from_planes(history)], len(ids))
         n = n_words.astype(np.int64) + 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, mask=ids == C.NO_ID), pa.array(~train), pa.array(n), pa.array(np.frombuffer(known, np.int64)), pa.array(np.frombuffer(base)), pa.array(np.frombuffer(score) + weight)], schema=SCORE_ARROW
@@ -356,12 +358,9 @@ def katz_scores(docs: DataFrame, train, min_count: int = 2) -> DataFrame:
     C.limit_batches(docs.sparkSession)
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")
     states = C.saved(count_tables(lean, min_count), "katz-counts")
-    C.release(docs.sparkSession)
-    # A state is a few MB: few at a time.
-    C.limit_batches(docs.sparkSession, 4)
     model = _model(states)
     size = F.lit(float(np.log10(model.total + model.words + 1)))
-    scored = score_texts(states, model, min_count)
+    scored = score_texts(states, model)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_part") - F.col("n_tokens") * size).alias("base_score"), "score")
 
 
