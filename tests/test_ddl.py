@@ -227,3 +227,55 @@ def test_watch(spark, tree, tmp_path):
     query = watch(spark, str(tree), base, lambda plan, n: seen.append(plan.count()), str(tmp_path / "cp"), once=True)
     query.awaitTermination(120)
     assert seen and seen[-1] == len(keys(replay(list(TREE.items()))))
+
+
+@pytest.mark.parametrize(
+    "a,b",
+    [
+        ("check (state in ('a', 'b'))", "check (state = any (array['a'::text, 'b'::text]))"),
+        ("check (state not in ('a'))", "check (state <> all (array['a'::text]))"),
+        ("check (n between 1 and 5)", "check (n >= 1 and n <= 5)"),
+        ("check (n > 0)", "check (N > 0::numeric)"),
+    ],
+)
+def test_equal_predicates_are_equal(a, b):
+    digest = lambda c: replay([("f", f"create table t (n int, state text, constraint k {c})")]).objects["constraint:public.k:t"]["body"]
+    assert digest(a) == digest(b)
+
+
+def test_sequence_defaults_and_policies():
+    assert read("create sequence s increment by 1 no maxvalue start with 1").digest == read("create sequence s").digest != read("create sequence s start 5").digest
+    state = replay([("a", "create table t (a int); create policy p on t for select to b, a using (a > 0); alter policy p on t to c using (a between 1 and 2)")])
+    assert state.objects["policy:public.p:t"]["detail"] == {"command": "select", "roles": ["c"], "using": "a >= 1 and a <= 2", "check": None}
+
+
+def test_do_blocks_are_guarded():
+    block = "do $$ begin if not exists (select 1 from pg_type) then create type mood as enum ('x'); end if; execute 'create table d (a int)'; exception when duplicate_object then null; end $$;"
+    state = replay([("a", block), ("b", block)])
+    assert keys(state) == {"enum:public.mood", "table:public.d"} and not state.problems
+
+
+def test_view_types(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.plans import typing
+
+    columns = spark.createDataFrame([("app.t", "id", "int8", 1), ("app.t", "tags", "text[]", 2), ("app.t", "total", "numeric(10, 2)", 3), ("app.t", "at", "timestamptz", 4), ("app.u", "id", "int", 1)], "table_name string, column_name string, type string, position int")
+    views = {
+        "app.b": "WITH x AS (SELECT * FROM app.a) SELECT id, total * 2 AS twice FROM x JOIN app.u USING (id)",
+        "app.a": "SELECT id, total, CASE WHEN total > 1 THEN 'big' END AS size, row_number() OVER (ORDER BY id) AS n, (SELECT max(id) FROM app.u) AS top FROM app.t",
+        "app.c": "SELECT nothing FROM app.t",
+    }
+    typed, failed = typing.view_columns(spark, columns, views)
+    assert {f.name: f.dataType.simpleString() for f in typed["app.a"]} == {"id": "bigint", "total": "decimal(10,2)", "size": "string", "n": "int", "top": "int"}
+    assert [f.name for f in typed["app.b"]] == ["id", "twice"] and list(failed) == ["app.c"]
+    assert typing.is_updatable("select a, b from t x where a > 1 order by b")
+    for no in ("select distinct a from t", "select a from t, u", "select count(*) from t", "select a from t join u using (a)", "select a from t limit 1", "select 1"):
+        assert not typing.is_updatable(no)
+
+
+def test_unresolved_dependencies(spark):
+    from tessella.operators import decisions
+
+    objects = readers.objects_of(spark.createDataFrame([("a", "create view v as select * from x.gone; create table t (a int); create view w as select * from public.t")], "file string, sql string"))
+    assert [tuple(r) for r in decisions.unresolved(objects).collect()] == [("view:public.v", "x.gone")]

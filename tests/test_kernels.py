@@ -147,3 +147,30 @@ def test_text(spark):
     df = spark.createDataFrame([(" A\t b\n\n", "postgres://me:secret@host/db?password=x&y=1", "a  \r\nb\n\n\n\nc ; ")], "a string, b string, c string")
     got = df.select(X.collapse(F.col("a")), X.redact(F.col("b")), X.normal_sql(F.col("c")), X.slug(F.lit("__Add  Col-1!")), X.stable_json(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)))).first()
     assert tuple(got) == ("A b", "postgres://me:***@host/db?password=***&y=1", "a\nb\n\nc", "add_col_1", '{"a":2,"b":1}')
+
+
+def test_decisions(spark):
+    from tessella.operators import decisions as d
+
+    one = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    labels = "key string, labels array<string>"
+    got = d.enum_changes(one([("a", ["x"]), ("b", ["x", "y"]), ("c", ["x"]), ("d", [])], labels), one([("a", ["x", "z", "w"]), ("b", ["y", "x"]), ("c", ["x"]), ("d", ["q"])], labels))
+    assert sorted(map(tuple, got.collect())) == [("a", "append", "z,w"), ("b", "replace", None), ("d", "append", "q")]
+    views = "key string, columns array<struct<name string, type string>>"
+    got = d.view_replacements(one([("a", [("x", "int")]), ("b", [("x", "int")])], views), one([("a", [("x", "int"), ("y", "int")]), ("b", [("x", "text")])], views))
+    assert sorted(map(tuple, got.collect())) == [("a", "replace"), ("b", "drop_and_create")]
+    got = d.routine_replacements(one([("f", "int"), ("g", None)], "key string, returns string"), one([("f", "text"), ("g", None)], "key string, returns string"))
+    assert sorted(map(tuple, got.collect())) == [("f", "drop_and_create"), ("g", "replace")]
+    ops = one([("a", True), ("b", True), ("c", True), ("e", False)], "key string, destructive boolean")
+    intents, hints = one([("a",)], "key string"), one([("a",), ("b",)], "key string")
+    state = lambda hints, policy="hint": {r.key: r.disposition for r in d.dispositions(ops, intents, hints, policy).collect()}
+    assert state(hints) == {"a": "intent", "b": "hint", "c": "blocked", "e": "safe"}
+    assert state(one([("*",)], "key string"))["c"] == "hint"
+    assert state(hints, "block")["b"] == "blocked" and state(hints, "allow")["c"] == "allowed"
+    objects = "key string, kind string, schema_name string"
+    before, after = one([("t1", "table", "a"), ("t2", "table", "a")], objects), one([("u1", "view", "a"), ("u2", "table", "b"), ("u3", "table", "a")], objects)
+    hints = one([("t1", "u1"), ("t1", "u2"), ("t2", "u3"), ("t9", "u3"), ("t1", "u9")], "from_key string, to_key string")
+    got = {(r.from_key, r.to_key): r.problem for r in d.rename_findings(hints, before, after).collect()}
+    assert got == {("t1", "u1"): "another kind", ("t1", "u2"): "another schema", ("t9", "u3"): "no source", ("t1", "u9"): "no target"}
+    fp = lambda x: one([(x,)], "fingerprint string")
+    assert d.drift(ops.limit(0), fp("a"), fp("b")).first().drift and not d.drift(ops, fp("a"), fp("b")).first().drift
