@@ -15,7 +15,7 @@ from .tokens import split_statements
 STATEMENTS = "file string, idx long, byte_start long, text string"
 FACTS = (
     "file string, idx long, byte_start long, text string, verb string, kind string, key string, identity string, table_identity string, guarded boolean, replace boolean, cascade boolean, concurrent boolean, "
-    "definer boolean, search_path string, actions array<string>, added_label string, unvalidated boolean, volatile_default boolean, needs_default boolean, dependencies array<string>"
+    "definer boolean, search_path string, actions array<string>, added_label string, unvalidated boolean, volatile_default boolean, needs_default boolean, dropped_columns array<string>, dependencies array<string>"
 )
 # Functions whose result differs from row to row.
 VOLATILE = ("random", "clock_timestamp", "gen_random_uuid", "uuid_generate_v4", "nextval", "timeofday")
@@ -40,7 +40,7 @@ def _row(text: str) -> tuple:
         f.verb, f.kind, f.key, f.identity if f.name else None, f"{f.schema}.{f.table}" if f.table else None, f.guarded, f.replace, f.cascade, f.concurrent,
         bool(f.detail.get("definer")), f.detail.get("search_path"), [c["action"] for c in commands], next((c["value"] for c in commands if c["action"] == "add value"), None),
         any(c["action"] == "add constraint" and not c["not_valid"] for c in commands), any(x["default"] and any(v in x["default"] for v in VOLATILE) for x in added),
-        any(x["not_null"] and x["default"] is None and x["identity"] is None for x in added), f.dependencies,
+        any(x["not_null"] and x["default"] is None and x["identity"] is None for x in added), [c["column"] for c in commands if c["action"] == "drop column"], f.dependencies,
     )
 
 
@@ -60,6 +60,28 @@ def _found(rows: DataFrame, code: str, severity: str, message: str) -> DataFrame
     return rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "file", F.col("idx").cast("long").alias("idx"), F.coalesce("key", F.lit("")).alias("subject"), F.lit(message).alias("message"))
 
 
+def intents(f: DataFrame) -> DataFrame:
+    """(file, idx, intent, key, column_name) that a history states: drops of objects and columns, changes of rows, blocks, enum labels."""
+    one = lambda rows, intent, column: rows.select("file", "idx", F.lit(intent).alias("intent"), "key", column.cast("string").alias("column_name"))
+    none = F.lit(None)
+    return (
+        one(f.where("verb = 'drop'"), "drop", none)
+        .unionByName(one(f.where("size(dropped_columns) > 0").withColumn("_c", F.explode("dropped_columns")), "drop_column", F.col("_c")))
+        .unionByName(one(f.where(F.col("verb").isin("insert", "update", "delete")), "rows", none))
+        .unionByName(one(f.where("verb = 'do'"), "block", none))
+        .unionByName(one(f.where("added_label IS NOT NULL"), "add_label", F.col("added_label")))
+    )
+
+
+def silent_column_drops(f: DataFrame) -> DataFrame:
+    """(key, column_name) of dropped columns for which no file both drops them and changes rows of their table, or runs a block."""
+    found = intents(f)
+    drops = found.where("intent = 'drop_column'").select("file", "key", "column_name")
+    rows, blocks = found.where("intent = 'rows'").select("file", "key").distinct(), found.where("intent = 'block'").select("file").distinct()
+    told = drops.join(rows, ["file", "key"], "left_semi").unionByName(drops.join(blocks, "file", "left_semi"))
+    return drops.select("key", "column_name").distinct().join(told.select("key", "column_name"), ["key", "column_name"], "left_anti")
+
+
 def check_statements(f: DataFrame, split_concurrent: bool = True) -> DataFrame:
     """(code, severity, file, idx, subject, message) of all checks over a table of facts."""
     has = lambda action: F.array_contains("actions", action)

@@ -69,6 +69,23 @@ def required_columns(m: Model) -> DataFrame:
     return finding(m.policies.where(F.size(F.array_except(needed, F.coalesce("columns", F.array().cast("array<string>")))) > 0), "S04", "warning", "name")
 
 
+# A session function that is no longer maintained, and one that runs per row unless a sub-select wraps it.
+DEPRECATED_CALL, ROW_CALL = r"\bauth ?\. ?role ?\(", r"\bauth ?\. ?uid ?\("
+
+
+def _policy_text():
+    return F.lower(F.concat_ws(" ", "using_expr", "check_expr"))
+
+
+def deprecated_call(m: Model) -> DataFrame:
+    return finding(m.policies.where(_policy_text().rlike(DEPRECATED_CALL)), "S05", "warning", "name")
+
+
+def unwrapped_call(m: Model) -> DataFrame:
+    bare = F.regexp_replace(_policy_text(), r"\( ?select " + ROW_CALL[2:], "")
+    return finding(m.policies.where(bare.rlike(ROW_CALL)), "S06", "warning", "name")
+
+
 def exposed_without_rls(m: Model) -> DataFrame:
     granted = m.grants.where(F.col("grantee").isin(*m.api_roles)).select(F.col("target").alias("table_name"))
     open_ = m.tables.where(F.col("schema_name").isin(*m.exposed_schemas)).join(granted, "table_name", "left_semi")
@@ -101,7 +118,7 @@ def view_invoker(m: Model) -> DataFrame:
 PACKS: dict[str, tuple[Rule, ...]] = {
     "hygiene": (naming, destructive),
     "grants": (public_grants, all_privileges, undeclared_grantee),
-    "rls": (rls_without_policy, policy_without_rls, missing_predicate, required_columns, exposed_without_rls, definer_search_path, view_invoker),
+    "rls": (rls_without_policy, policy_without_rls, missing_predicate, required_columns, deprecated_call, unwrapped_call, exposed_without_rls, definer_search_path, view_invoker),
 }
 PACKS["scan"] = PACKS["grants"] + PACKS["hygiene"] + PACKS["rls"]
 PACKS["deploy"] = tuple(r for r in PACKS["scan"] if r is not definer_search_path)

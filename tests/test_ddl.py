@@ -279,3 +279,11 @@ def test_unresolved_dependencies(spark):
 
     objects = readers.objects_of(spark.createDataFrame([("a", "create view v as select * from x.gone; create table t (a int); create view w as select * from public.t")], "file string, sql string"))
     assert [tuple(r) for r in decisions.unresolved(objects).collect()] == [("view:public.v", "x.gone")]
+
+
+def test_intents(spark):
+    files = [("1", "alter table t drop column a, drop column b; update t set c = a;"), ("2", "alter table u drop column x; drop view if exists v; alter type e add value 'q'"), ("3", "alter table w drop column y; do $$ begin end $$")]
+    f = checks.facts(checks.statements(spark.createDataFrame(files, "file string, sql string")))
+    got = {(r.file, r.intent, r.column_name) for r in checks.intents(f).collect()}
+    assert got >= {("1", "drop_column", "a"), ("1", "rows", None), ("2", "drop", None), ("2", "add_label", "q"), ("3", "block", None)}
+    assert [tuple(r) for r in checks.silent_column_drops(f).collect()] == [("table:public.u", "x")]

@@ -174,3 +174,10 @@ def test_decisions(spark):
     assert got == {("t1", "u1"): "another kind", ("t1", "u2"): "another schema", ("t9", "u3"): "no source", ("t1", "u9"): "no target"}
     fp = lambda x: one([(x,)], "fingerprint string")
     assert d.drift(ops.limit(0), fp("a"), fp("b")).first().drift and not d.drift(ops, fp("a"), fp("b")).first().drift
+
+
+def test_policy_calls(spark):
+    rows = [("a", "auth . uid ( ) = owner", None), ("b", "( select auth . uid ( ) ) = owner", None), ("c", None, "auth.role() = 'x'"), ("d", "true", "( select auth.uid() ) = o and auth.uid() = p")]
+    m = packs.Model({"policies": spark.createDataFrame(rows, "name string, using_expr string, check_expr string")})
+    assert [r.subject for r in packs.deprecated_call(m).collect()] == ["c"]
+    assert sorted(r.subject for r in packs.unwrapped_call(m).collect()) == ["a", "d"]
