@@ -1,10 +1,11 @@
 """SpotSigs document fingerprints, in DataFrame functions only.
 
-Wherever a common word (an anchor) stands in a text, the anchor and the next ``chain`` content words
-form a signature; up to ``SKIP`` other anchors in a row are skipped.  Short texts, lists and tables hold few common words, so every word, alone and with its follower, is a
-signature too in texts of up to ``short`` distinct words, and in richer ones the share short / distinct words of them, by least hash: about
-as many in any text, and the same ones in similar texts.  A fingerprint is the sorted set of signature hashes, or its ``size`` smallest (a bottom-k sketch) for longer texts;
-up to ``size`` signatures it is the whole set.
+Wherever a common word (an anchor) stands in a text, the anchor and the next ``chain`` content words form a signature; up to
+``SKIP`` other anchors in a row are skipped.  Short texts, lists and tables hold few common words.  So every word, alone and
+with its follower, is a signature too in texts of up to ``short`` distinct words, and in richer ones the share
+short / distinct words of them, by least hash: about as many in any text, and the same ones in similar texts.
+
+A fingerprint is the sorted set of signature hashes or, for longer texts, the ``size`` smallest of them (a bottom-k sketch).
 
 Likeness is the Jaccard similarity of two fingerprints: exact for whole sets, the bottom-k estimate otherwise.  Sets whose
 lengths alone keep the similarity below a threshold are not compared (``near_pairs``).
