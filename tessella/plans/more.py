@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import diff, fold, rollup, sequence
 from ..rules import packs
+from ..sources import fixtures
+from . import api
 from .catalogue import DIFF_SQL, query
 
 
@@ -279,3 +281,33 @@ def _(t):
     scores = rollup.scan_scores(rows, warning_cost=0)
     systems = rows.groupBy("file").agg(F.count_distinct("code").alias("systems"))
     return systems.join(scores, "file").select("file", "systems", ((F.col("score") >= 90) & (F.col("systems") == 1)).alias("ready"))
+
+
+# --- scale: schemas of 1,000 and 2,500 tables -----------------------------------------------------------------------------
+
+
+def _schema_sql(tables: int) -> str:
+    before, after = fixtures.state_sql(tables, False, "duckdb"), fixtures.state_sql(tables, True, "duckdb")
+    return f"""WITH b AS ({before}), a AS ({after}) SELECT coalesce(a.kind, b.kind) AS object_kind, CASE WHEN b.key IS NULL THEN 'create' WHEN a.key IS NULL THEN 'drop' ELSE 'change' END AS op, count(*) AS n
+        FROM b FULL OUTER JOIN a ON a.key = b.key WHERE a.hash IS DISTINCT FROM b.hash GROUP BY 1, 2"""
+
+
+def _schema_diff(tables: int):
+    def build(t):
+        return api.operations(*fixtures.states(t.spark, tables)).groupBy("object_kind", "op").agg(F.count("*").alias("n"))
+
+    return build
+
+
+query("schema_diff_xl", _schema_sql(1_000))(_schema_diff(1_000))
+query("schema_diff_xxl", _schema_sql(2_500))(_schema_diff(2_500))
+
+
+@query("schema_plan_xl")
+def _(t):
+    return api.plan(*fixtures.states(t.spark, 1_000))
+
+
+@query("schema_plan_xxl")
+def _(t):
+    return api.plan(*fixtures.states(t.spark, 2_500))
