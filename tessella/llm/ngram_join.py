@@ -36,7 +36,7 @@ UNNAMED = 1 << 62
 FLUSH = 700_000
 # Buckets that a task takes one after the other.
 PER_TASK = 3
-SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.int64()), ("digest2", pa.int64())])
+SETS_ARROW = pa.schema([("digest", pa.int64()), ("digest2", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int64()))])
 _U = np.uint64
 
 
@@ -74,15 +74,25 @@ def _sets(words: C.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def ngram_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, digest, digest2) for every row: the size of its set, and 128 bits that equal sets share."""
+    """(digest, digest2, n, ids): 128 bits that equal sets share, the set's size, and the rows of one batch that have it.
+
+    Copies within a batch are one row, so a set that a third of all rows share has a row per batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words in C.word_slices(batch.column(1), lower=True):
-                _, _, n, d, d2 = _sets(words, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n.astype(np.int32)), pa.array(d), pa.array(d2)], schema=SETS_ARROW)
+            parts = [_sets(words, size)[2:] for _, _, words in C.word_slices(batch.column(1), lower=True)]
+            if not parts:
+                continue
+            n, d, d2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((d2, d))
+            starts = C.runs(d[order], d2[order])
+            ids = batch.column(0).take(pa.array(order))
+            first = order[starts]
+            grouped = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), ids)
+            yield pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(d2[first]), pa.array(n[first].astype(np.int32)), grouped], schema=SETS_ARROW)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest long, digest2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "digest long, digest2 long, n int, ids array<long>")
 
 
 NODES_ARROW = pa.schema([("digest", pa.int64()), ("digest2", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary())])
@@ -290,7 +300,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = C.saved(ngram_sets(docs, size), "ngram-sets")
     # One node per distinct set, named by its smallest id, or by its digest, above all ids, where no row has one.
-    names = rows.where("n > 0").groupBy("digest", "digest2").agg(F.min("doc_id").alias("first_id"))
+    names = rows.where("n > 0").groupBy("digest", "digest2").agg(F.min(F.array_min("ids")).alias("first_id"))
     names = names.withColumn("node", F.coalesce("first_id", F.lit(UNNAMED) + F.shiftrightunsigned("digest", 2))).drop("first_id")
     sets = C.saved(rare_first(docs, size, percent).join(names, ["digest", "digest2"]).select("digest", "digest2", "node", "n", "hashes"), "ngram-nodes")
     apart = sets.withColumn("part", F.col("node"))
@@ -301,7 +311,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     parts = C.saved(components(near.unionByName(rest)), "ngram-components")
     component = F.coalesce("component", "node")
     named = names.join(parts, "node", "left").select("digest", "digest2", F.when(component < UNNAMED, component).alias("component_id"))
-    out = rows.join(named, ["digest", "digest2"], "left")
+    out = rows.join(named, ["digest", "digest2"], "left").select("n", "component_id", F.explode("ids").alias("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
