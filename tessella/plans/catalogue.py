@@ -418,7 +418,13 @@ def _(t):
     return sequence.chain_gaps(_lineage(t), "version", "from_fp", "to_fp", ["chain"]).select("chain", "version")
 
 
-@query("stale_lineage")
+@query(
+    "stale_lineage",
+    f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY version) AS n FROM ({LINEAGE_SQL})),
+    r AS (SELECT chain, n, version, NOT known AS stale, CASE WHEN known THEN []::VARCHAR[] ELSE [to_fp] END AS made FROM l WHERE n = 1
+    UNION ALL SELECT l.chain, l.n, l.version, NOT l.known OR list_contains(r.made, l.from_fp), CASE WHEN NOT l.known OR list_contains(r.made, l.from_fp) THEN list_append(r.made, l.to_fp) ELSE r.made END FROM r JOIN l ON l.chain = r.chain AND l.n = r.n + 1)
+    SELECT chain, version FROM r WHERE stale""",
+)
 def _(t):
     return sequence.stale_lineage(_lineage(t), "chain")
 
@@ -470,7 +476,13 @@ def _(t):
     return graph.dependents(t.dependencies(), t.spark.createDataFrame([("nation:3",), ("region:0",)], "key string"))
 
 
-@query("topological_plan_order")
+@query(
+    "topological_plan_order",
+    # Here a nation is ready once its region is out, and goes before the next region.
+    """SELECT plan_id, key, row_number() OVER (PARTITION BY plan_id ORDER BY region, step, ordinal) - 1 AS seq, FALSE AS cyclic FROM (
+    SELECT CAST(n_regionkey % 2 AS BIGINT) AS plan_id, 'nation:' || n_nationkey AS key, n_regionkey AS region, 1 AS step, n_nationkey AS ordinal FROM nation
+    UNION SELECT CAST(n_regionkey % 2 AS BIGINT), 'region:' || n_regionkey, n_regionkey, 0, 0 FROM nation)""",
+)
 def _(t):
     edges = t.nation.select((F.col("n_regionkey") % 2).cast("long").alias("plan_id"), F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("dst"))
     keys = edges.select("plan_id", F.col("src").alias("key")).unionByName(edges.select("plan_id", F.col("dst").alias("key"))).distinct()
