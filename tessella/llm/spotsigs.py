@@ -88,12 +88,13 @@ def with_next_text(docs: DataFrame, derived: str | None = None) -> DataFrame:
     n = C.shuffle_partitions(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    bounds = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("b")).first()["b"] or []
+    bounds = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], min(max(10_000, 10 * n), 1_000_000)).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
     # Two steps through the bounds: blocks, then the bounds of one block.
     step = 256
-    every = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
-    blocks = F.array(*(F.lit(b).cast("long") for b in bounds[::step])) if bounds else every
+    # As text, so that the plan holds one literal and not a node per bound.
+    listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+    every, blocks = listed(bounds), listed(bounds[::step])
     block = F.greatest(F.size(F.filter(blocks, lambda b: b <= F.col("key"))) - 1, F.lit(0))
     if len(bounds) > step:
         rows = rows.withColumn("block", block * step)
