@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ddl import checks
+from ..ddl.render import operation
 from ..operators import diff, graph, rollup
 from ..sources import readers
 
@@ -91,18 +95,22 @@ def fingerprint(objects: DataFrame) -> DataFrame:
     return rollup.fingerprint(objects.withColumn("_all", F.lit(1)), ["_all"]).select("fingerprint")
 
 
-def render(planned: DataFrame, after: DataFrame) -> DataFrame:
-    """(seq, key, sql): guarded statements for operations whose text follows from the key alone; others need the author's text."""
-    table = F.upper(F.replace("object_kind", F.lit("-"), F.lit(" ")))
-    name = F.split_part("key", F.lit(":"), F.lit(2))
-    owner = F.split_part("key", F.lit(":"), F.lit(3))
-    on = F.concat(F.split_part(name, F.lit("."), F.lit(1)), F.lit("."), owner)
-    drop = (
-        F.when(F.col("object_kind").isin("policy", "trigger"), F.concat_ws(" ", F.lit("DROP"), table, F.lit("IF EXISTS"), F.split_part(name, F.lit("."), F.lit(2)), F.lit("ON"), on))
-        .when(F.col("object_kind") == "constraint", F.concat_ws(" ", F.lit("ALTER TABLE IF EXISTS"), on, F.lit("DROP CONSTRAINT IF EXISTS"), F.split_part(name, F.lit("."), F.lit(2))))
-        .when(F.col("object_kind") == "rls", F.concat_ws(" ", F.lit("ALTER TABLE IF EXISTS"), name, F.lit("DISABLE ROW LEVEL SECURITY")))
-        .when(~F.col("object_kind").isin("grant", "comment", "default-privilege"), F.concat_ws(" ", F.lit("DROP"), table, F.lit("IF EXISTS"), name))
-    )
-    create = F.when(F.col("object_kind") == "schema", F.concat(F.lit("CREATE SCHEMA IF NOT EXISTS "), name)).when(F.col("object_kind") == "rls", F.concat_ws(" ", F.lit("ALTER TABLE"), name, F.lit("ENABLE ROW LEVEL SECURITY")))
-    sql = F.when(F.col("op") == "drop", drop).when(F.col("op") == "create", create)
-    return planned.select("seq", "key", F.concat(sql, F.lit(";")).alias("sql"))
+def render(planned: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(seq, key, op, sql) of a plan: guarded statements; null where an author's text is needed."""
+    was, now = before.select("key", F.col("detail").alias("was")), after.select("key", F.col("detail").alias("now"), "sql")
+    rows = planned.select("seq", "key", "op").join(was, "key", "left").join(now, "key", "left")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            part = part.astype(object).where(part.notna(), None)
+            text = [operation(op, key, was, sql, now) for op, key, was, sql, now in zip(part["op"], part["key"], part["was"], part["sql"], part["now"], strict=True)]
+            yield pd.DataFrame({"seq": part["seq"].astype("int64"), "key": part["key"], "op": part["op"], "sql": text})
+
+    return rows.mapInPandas(run, "seq long, key string, op string, sql string")
+
+
+def migration(rendered: DataFrame) -> DataFrame:
+    """One row: the whole text in order of the plan; what needs an author is a comment."""
+    line = F.coalesce(F.concat("sql", F.lit(";")), F.concat_ws(" ", F.lit("-- to be written:"), "op", "key"))
+    listed = F.array_sort(F.collect_list(F.struct("seq", line.alias("line"))))
+    return rendered.agg(F.array_join(F.transform(listed, lambda s: s["line"]), "\n").alias("sql"))
