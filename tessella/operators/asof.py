@@ -32,11 +32,23 @@ def asof_last(probes: DataFrame, events: DataFrame, keys: list[str], value: str,
     return joined.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in extra), F.coalesce("_last", "_carried")[value].alias(value))
 
 
-def covered(probes: DataFrame, log: DataFrame, elements: DataFrame, target: str = "target", element: str = "privilege", verb: str = "verb", ordinal: str = "ordinal", on: str = "GRANT") -> DataFrame:
+def covered(probes: DataFrame, log: DataFrame, elements: DataFrame, target: str = "target", element: str = "privilege", verb: str = "verb", ordinal: str = "ordinal", on: str = "GRANT", width: int = 100_000) -> DataFrame:
     """``probes`` (ordinal, target) with ``implied``: at that point every element's last transition is ``on``.
 
-    ``elements`` is a small dimension; a probe has one row per element while it is looked up.
+    No probe is multiplied by the elements: an event adds or takes 1 where it changes its element's state, and a running
+    sum per target, dealt by ordinal range like ``asof_last``, is compared with their number.
     """
-    asked = probes.select(ordinal, target).join(F.broadcast(elements.select(element)), how="cross")
-    found = asof_last(asked, log, [target, element], verb, ordinal)
-    return found.groupBy(ordinal, target).agg(F.bool_and(F.coalesce(F.col(verb) == on, F.lit(False))).alias("implied"))
+    before = F.lag(verb).over(Window.partitionBy(target, element).orderBy(ordinal))
+    known = log.join(F.broadcast(elements.select(element).distinct()), element, "left_semi").withColumn("_before", before)
+    was, now = F.coalesce(F.col("_before") == on, F.lit(False)), F.col(verb) == on
+    span = F.floor(F.col(ordinal) / width).alias("_span")
+    steps = known.select(target, ordinal, span, (now.cast("int") - was.cast("int")).alias("_step")).where("_step <> 0")
+    asked = probes.select(target, ordinal, span)
+    totals = steps.groupBy(target, "_span").agg(F.sum("_step").alias("_sum")).unionByName(asked.select(target, "_span", F.lit(0).cast("long").alias("_sum")).distinct())
+    earlier = Window.partitionBy(target).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.groupBy(target, "_span").agg(F.sum("_sum").alias("_sum")).select(target, "_span", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
+    both = steps.withColumn("_probe", F.lit(0)).unionByName(asked.withColumn("_step", F.lit(0)).withColumn("_probe", F.lit(1)))
+    upto = Window.partitionBy(target, "_span").orderBy(ordinal, "_probe").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("_held", F.sum("_step").over(upto)).where("_probe = 1").join(carried, [target, "_span"], "left")
+    size = F.broadcast(elements.select(element).distinct().agg(F.count("*").alias("_size")))
+    return held.join(size, how="cross").select(ordinal, target, (F.col("_held") + F.coalesce("_carried", F.lit(0)) == F.col("_size")).alias("implied"))

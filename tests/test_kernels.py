@@ -181,3 +181,19 @@ def test_policy_calls(spark):
     m = packs.Model({"policies": spark.createDataFrame(rows, "name string, using_expr string, check_expr string")})
     assert [r.subject for r in packs.deprecated_call(m).collect()] == ["c"]
     assert sorted(r.subject for r in packs.unwrapped_call(m).collect()) == ["a", "d"]
+
+
+@pytest.mark.parametrize("width", [3, 50, 100_000])
+def test_coverage_is_the_fold_at_every_point(spark, width):
+    rows = log(8, 200)
+    probes = [(i - 3, t) for i, t in enumerate([0, 1, 2, 3, 4, 9] * 35)]
+    expected = {}
+    for at, target in probes:
+        held = set()
+        for o, verb, p, t in rows:
+            if o <= at and t == target:
+                (held.add if verb == "GRANT" else held.discard)(p)
+        expected[at, target] = held >= {"a", "b"}
+    elements = spark.createDataFrame([("a",), ("b",)], "privilege string")
+    got = asof.covered(spark.createDataFrame(probes, "ordinal long, target long"), spark.createDataFrame(rows, LOG), elements, width=width)
+    assert {(r.ordinal, r.target): r.implied for r in got.collect()} == expected and any(expected.values())
