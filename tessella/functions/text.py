@@ -63,3 +63,25 @@ def normal_sql(text: Column) -> Column:
 def stable_json(bag: Column) -> Column:
     """JSON of a map with its keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(bag))))
+
+
+def json_depth(text: Column) -> Column:
+    """How deep brackets nest outside strings."""
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc, c):
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), start, step, lambda acc: acc["most"])
+
+
+def intake_problem(document: Column, required: tuple[str, ...] = (), depth: int = 64) -> Column:
+    """Why a JSON document is refused, or null: not an object, too deep, a key missing, or text that looks like a secret."""
+    problem = F.when(F.try_parse_json(document).isNull() | ~F.trim(document).startswith("{"), "no object").when(json_depth(document) > depth, "too deep")
+    for key in required:
+        problem = problem.when(F.get_json_object(document, f"$.{key}").isNull(), f"no {key}")
+    for pattern, _ in SECRETS:
+        problem = problem.when(document.rlike(pattern), "secret")
+    return problem

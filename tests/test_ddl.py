@@ -324,3 +324,13 @@ def test_a_rendered_plan_leads_to_the_other_state(spark, there):
             # A label cannot be taken from an enum.
             assert set(left) <= {"enum:shop.state"}
         assert not [p for p in got.problems if p[2] != "R99"]
+
+
+def test_view_options():
+    base = "create view v as select 1; create table t (a int);"
+    plain = replay([("a", base)]).objects
+    there = replay([("a", base + "alter view v set (security_invoker = true, security_barrier); alter table t set (fillfactor = 70)")]).objects
+    back = replay([("a", base + "alter view v set (security_invoker = true); alter view v reset (security_invoker); alter table t set (fillfactor = 70); alter table t reset (fillfactor)")]).objects
+    assert there["view:public.v"]["detail"]["options"] == {"security_barrier": "true", "security_invoker": "true"}
+    for key in ("view:public.v", "table:public.t"):
+        assert there[key]["body"] != plain[key]["body"] == back[key]["body"]

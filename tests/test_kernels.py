@@ -197,3 +197,12 @@ def test_coverage_is_the_fold_at_every_point(spark, width):
     elements = spark.createDataFrame([("a",), ("b",)], "privilege string")
     got = asof.covered(spark.createDataFrame(probes, "ordinal long, target long"), spark.createDataFrame(rows, LOG), elements, width=width)
     assert {(r.ordinal, r.target): r.implied for r in got.collect()} == expected and any(expected.values())
+
+
+def test_intake(spark):
+    deep = "{" + '"a":{' * 70 + "}" * 70 + "}"
+    docs = ['{"name": "x", "list": [[1]]}', "[1]", "nonsense", '{"list": 1}', '{"name": "x", "password": "hunter2"}', '{"name": "password=hunter2"}', deep.replace("{", '{"name":1,', 1), '{"name": "{[{["}']
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string")
+    got = [r.p for r in df.orderBy("i").select(X.intake_problem(F.col("d"), ("name",)).alias("p")).collect()]
+    assert got == [None, "no object", "no object", "no name", None, "secret", "too deep", None]
+    assert df.where("i in (0, 7)").orderBy("i").select(X.json_depth(F.col("d"))).collect() == [(3,), (1,)]
