@@ -139,11 +139,11 @@ def _(t):
     return merged.where("_rows >= 2").drop("_rows")
 
 
-@query("column_grant_absorption", "SELECT target, grantee, privilege FROM privs p WHERE verb = 'GRANT' AND ordinal % 2 = 1 AND NOT EXISTS (SELECT 1 FROM privs w WHERE w.verb = 'GRANT' AND w.ordinal % 2 = 0 AND w.target = p.target AND w.grantee = p.grantee AND w.privilege = p.privilege) GROUP BY ALL", "privs")
+@query("column_grant_absorption", "SELECT target, grantee, privilege FROM privs p WHERE verb = 'GRANT' AND ordinal % 4 = 1 AND NOT EXISTS (SELECT 1 FROM privs w WHERE w.verb = 'GRANT' AND w.ordinal % 32 = 0 AND w.target = p.target AND w.grantee = p.grantee AND w.privilege = p.privilege) GROUP BY ALL", "privs")
 def _(t):
     grants = t.privileges().where("verb = 'GRANT'")
     keys = ["target", "grantee", "privilege"]
-    return grants.where("ordinal % 2 = 1").select(*keys).distinct().join(grants.where("ordinal % 2 = 0").select(*keys), keys, "left_anti")
+    return grants.where("ordinal % 4 = 1").select(*keys).distinct().join(grants.where("ordinal % 32 = 0").select(*keys), keys, "left_anti")
 
 
 @query("cleared_pairs", "SELECT target, grantee, privilege, count(*) FILTER (verb = 'REVOKE' AND before = 'GRANT') AS cleared FROM (SELECT *, lag(verb) OVER (PARTITION BY target, grantee, privilege ORDER BY ordinal) AS before FROM privs) GROUP BY 1, 2, 3", "privs")
