@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def state_sql(tables: int, changed: bool, engine: str = "spark") -> str:
-    """SELECT of (key, kind, schema_name, name, hash, ordinal, needs): the same text but for the range function.
+    """SELECT of (key, kind, schema_name, name, hash, ordinal, needs): the same rows in either engine.
 
     Every table has a key, a foreign key, an index, row security, two policies and a trigger; some have a grant, a view, a
     materialized view, a function or a comment.  The changed state has one more table and enum label, a column more in
@@ -33,7 +33,12 @@ def state_sql(tables: int, changed: bool, engine: str = "spark") -> str:
         ("function", f"{n} || '_of(bigint)'", f"'select 1' || {edit(29)}", "i % 20 = 9", n),
         ("comment", f"'table ' || {n}", f"'about ' || {n} || {edit(18)}", "i % 15 = 3", n),
     ]
-    parts = [f"SELECT '{kind}:app.' || {key} AS key, '{kind}' AS kind, 'app' AS schema_name, {key} AS name, md5({body}) AS hash, i * 20 + {k} AS ordinal, 'app.' || {needs} AS needs FROM ({ids}) t WHERE {where}" for k, (kind, key, body, where, needs) in enumerate(rows)]
+    if engine == "spark":
+        # One pass: each table's objects as an array, exploded.
+        objects = ", ".join(f"struct('{kind}:app.' || {key}, '{kind}', 'app', {key}, md5({body}), i * 20 + {k}, 'app.' || {needs}, {where})" for k, (kind, key, body, where, needs) in enumerate(rows))
+        parts = [f"SELECT key, kind, schema_name, name, hash, ordinal, needs FROM ({ids}) t LATERAL VIEW inline(array({objects})) o AS key, kind, schema_name, name, hash, ordinal, needs, there WHERE there"]
+    else:
+        parts = [f"SELECT '{kind}:app.' || {key} AS key, '{kind}' AS kind, 'app' AS schema_name, {key} AS name, md5({body}) AS hash, i * 20 + {k} AS ordinal, 'app.' || {needs} AS needs FROM ({ids}) t WHERE {where}" for k, (kind, key, body, where, needs) in enumerate(rows)]
     label = "'a,b,c'" if changed else "'a,b'"
     parts.append(f"SELECT 'schema:app', 'schema', NULL, 'app', md5(''), CAST(-2 AS BIGINT), NULL UNION ALL SELECT 'enum:app.status', 'enum', 'app', 'status', md5({label}), CAST(-1 AS BIGINT), NULL")
     if changed:
