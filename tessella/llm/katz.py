@@ -365,4 +365,4 @@ def katz_scores(docs: DataFrame, train, min_count: int = 2) -> DataFrame:
 
 
 def op2_katz(spark, sf_dir: str) -> DataFrame:
-    return katz_scores(C.documents(spark, sf_dir), C.fold("doc_id", 7) != 2)
+    return katz_scores(C.documents(spark, sf_dir), C.fold("doc_id", 7) != 2, min_count=1)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.llm import common as C
 from tessella.llm import decontamination, katz, quality, spotsigs, toxicity
 from tessella.llm.labelled import labelled_sample
 
@@ -69,6 +70,17 @@ def test_katz(spark, min_count, flush, monkeypatch):
         assert sum(p(h, w) for w in [*uni, "never seen"]) == pytest.approx(1)
 
 
+def test_op2_keeps_pairs_seen_once(spark, tmp_path):
+    frame(spark, corpus(7)).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    train = {r.doc_id: r.train for r in docs.select("doc_id", (C.fold("doc_id", 7) != 2).alias("train")).collect()}
+    made, _, p = plain_katz([(r.doc_id, r.text) for r in docs.collect()], train.get, 1)
+    got = {r.doc_id: r.score for r in katz.op2_katz(spark, str(tmp_path)).collect()}
+    assert len(got) == len(made) and not all(train.values())
+    for i, w, _ in made:
+        assert got[i] == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip([0, *w[:-1]], w)))
+
+
 def test_katz_edges(spark):
     rows = [(None, None), (1, ""), (1, ""), (2, "A a b")]
     got = katz.katz_scores(frame(spark, rows), F.lit(True)).collect()
