@@ -307,6 +307,18 @@ def _(t):
     return fold.collapse_full(t.privileges().where("verb = 'GRANT' AND ordinal % 4 = 0"), ["target", "grantee"], "privilege", full)
 
 
+# All grants of the log, of which the query above reads a part.  A day is a key besides, so that groups with and without
+# every privilege occur.
+@query(
+    "full_set_to_all_whole",
+    "SELECT target, grantee, day, CASE WHEN count(DISTINCT privilege) = 5 THEN 'ALL' ELSE string_agg(DISTINCT privilege, ',' ORDER BY privilege) END AS members FROM (SELECT user_id % 20 AS target, user_id % 7 AS grantee, CAST(ts AS DATE) AS day, event_type AS privilege FROM events WHERE event_id % 3 <> 0) GROUP BY 1, 2, 3",
+)
+def _(t):
+    full = t.spark.createDataFrame([("click",), ("error",), ("purchase",), ("signup",), ("view",)], "privilege string")
+    grants = t.events.where("event_id % 3 <> 0").select((F.col("user_id") % 20).alias("target"), (F.col("user_id") % 7).alias("grantee"), F.to_date("ts").alias("day"), F.col("event_type").alias("privilege"))
+    return fold.collapse_full(grants, ["target", "grantee", "day"], "privilege", full)
+
+
 @query("dependency_union", "SELECT to_key, string_agg(DISTINCT split_part(from_key, ':', 1), ',' ORDER BY split_part(from_key, ':', 1)) AS members FROM deps GROUP BY to_key", "deps")
 def _(t):
     return fold.element_union(t.dependencies().withColumn("kind", F.split_part("from_key", F.lit(":"), F.lit(1))), ["to_key"], "kind")

@@ -84,6 +84,19 @@ def _(t):
     return ops.join(direct.unionByName(second), "key").distinct()
 
 
+@query(
+    "operation_dependencies_whole",
+    "SELECT DISTINCT o.key, x.need FROM (SELECT key FROM snap_from) o JOIN (SELECT from_key AS key, to_key AS need FROM deps UNION ALL SELECT d.from_key, e.to_key FROM deps d JOIN deps e ON e.from_key = d.to_key) x ON x.key = o.key",
+    "snap_from",
+    "deps",
+)
+def _(t):
+    deps = t.dependencies()
+    direct = deps.select(F.col("from_key").alias("key"), F.col("to_key").alias("need"))
+    second = deps.join(deps.select(F.col("from_key").alias("to_key"), F.col("to_key").alias("need")), "to_key").select(F.col("from_key").alias("key"), "need")
+    return t.snapshots()[0].select("key").join(direct.unionByName(second), "key").distinct()
+
+
 @query(
     "fk_referenced_keys",
     "SELECT l_orderkey, l_linenumber, o_orderkey IS NOT NULL AS resolved FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey",

@@ -23,6 +23,20 @@ def _(t):
     return t.embeddings.select("vec_id", F.posexplode("embedding").alias("pos", "e")).where("pos < 3").select("vec_id", "pos", F.round(F.col("e").cast("double"), 6).alias("x"))
 
 
+# Whole tables: the two queries above, as registered with their SQL, read a part of theirs.
+
+
+@query("acl_explode_group_whole", "SELECT target, grantee, string_agg(DISTINCT p, ',' ORDER BY p) AS privileges FROM (SELECT target, grantee, unnest(acl) AS p FROM (SELECT target, grantee, list(privilege) AS acl FROM privs GROUP BY 1, 2)) GROUP BY 1, 2", "privs")
+def _(t):
+    acl = t.privileges().groupBy("target", "grantee").agg(F.collect_set("privilege").alias("acl"))
+    return acl.select("target", "grantee", F.explode("acl").alias("p")).groupBy("target", "grantee").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("privileges"))
+
+
+@query("with_ordinality_whole", "SELECT vec_id, CAST(i AS INTEGER) AS pos, CAST(e AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")
+def _(t):
+    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("pos", "e")).select("vec_id", "pos", F.col("e").cast("double").alias("x"))
+
+
 @query("ordered_string_agg", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1")
 def _(t):
     return t.nation.groupBy("n_regionkey").agg(F.expr("listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name)").alias("names"))

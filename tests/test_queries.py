@@ -28,3 +28,14 @@ def test_entry_runs_without_the_pipeline(spark, data):
 
     assert e.queries()["snapshot_diff_summary"](spark, data).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_tables_are_read(spark, data, duck):
+    count = lambda sql: duck.sql(sql).fetchall()[0][0]
+    run = lambda name: plans.QUERIES[name](spark, data)
+    assert run("with_ordinality_whole").count() == count("SELECT sum(len(embedding)) FROM embeddings")
+    assert run("operation_dependencies_whole").select("key").distinct().count() == count("SELECT count(*) FROM orders WHERE o_orderkey % 10 <> 0")
+    assert run("acl_explode_group_whole").selectExpr("sum(size(split(privileges, ',')))").first()[0] == count("SELECT count(DISTINCT (user_id % 20, user_id % 7, event_type)) FROM events")
+    members = [r.members for r in run("full_set_to_all_whole").collect()]
+    assert "ALL" in members and len(set(members)) > 1
+    assert sum(5 if m == "ALL" else m.count(",") + 1 for m in members) == count("SELECT count(DISTINCT (user_id % 20, user_id % 7, CAST(ts AS DATE), event_type)) FROM events WHERE event_id % 3 <> 0")
