@@ -87,16 +87,21 @@ def cyclic_keys(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     raise RuntimeError("the peeling did not end")
 
 
-def chains(spark, links: DataFrame, depth: int = 64) -> DataFrame:
-    """(start, target, length, cyclic) of chains of ``links`` (name, base), one base each, followed to their end."""
+def chains(spark, links: DataFrame) -> DataFrame:
+    """(start, target, length, cyclic) of chains of ``links`` (name, base), one base each, followed to their end.
+
+    A walk stops at the first base that it has visited, so none is longer than there are links.  Beyond Spark's limit of
+    rows in a recursion (``spark.sql.cteRecursionRowLimit``) the query fails.
+    """
     links.createOrReplaceTempView("_chain_links")
+    longest = links.count()
     walked = spark.sql(
-        f"""WITH RECURSIVE walk(start, at, path, cyclic) MAX RECURSION LEVEL {depth + 1} AS (
+        f"""WITH RECURSIVE walk(start, at, path, cyclic) MAX RECURSION LEVEL {longest + 1} AS (
             SELECT name, base, array(name), base = name FROM _chain_links
             UNION ALL
             SELECT w.start, l.base, array_append(w.path, l.name), array_contains(w.path, l.base) OR l.base = l.name
             FROM walk w JOIN _chain_links l ON l.name = w.at
-            WHERE NOT w.cyclic AND size(w.path) < {depth})
+            WHERE NOT w.cyclic)
         SELECT start, at, path, cyclic FROM walk"""
     )
     last = walked.groupBy("start").agg(F.max_by(F.struct("at", F.size("path").alias("length"), "cyclic"), F.size("path")).alias("r"))

@@ -206,3 +206,11 @@ def test_intake(spark):
     got = [r.p for r in df.orderBy("i").select(X.intake_problem(F.col("d"), ("name",)).alias("p")).collect()]
     assert got == [None, "no object", "no object", "no name", None, "secret", "too deep", None]
     assert df.where("i in (0, 7)").orderBy("i").select(X.json_depth(F.col("d"))).collect() == [(3,), (1,)]
+
+
+def test_chains_are_followed_to_their_end(spark):
+    links = [(f"t{i}", f"t{i + 1}") for i in range(70)] + [(f"c{i}", f"c{(i + 1) % 66}") for i in range(66)] + [("self", "self"), ("into", "c0")]
+    got = {r.start: (r.target, r.length, r.cyclic) for r in graph.chains(spark, spark.createDataFrame(links, "name string, base string").coalesce(1)).collect()}
+    assert got["t0"] == ("t70", 70, False) and got["t69"] == ("t70", 1, False)
+    assert got["c0"] == (None, 66, True) and got["into"] == (None, 67, True) and got["self"] == (None, 1, True)
+    assert len(got) == len(links)
