@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .labelled import labelled_sample
+from .spotsigs import word_list
 
 PER_CLASS = 3000
+GROUP_WORDS = 16
 LEXICON = 4000
 TOKEN = regex.compile(r"[\p{L}\p{N}']+|[.!?;:\n\"“”«»]")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, BREAK = range(8)
@@ -277,9 +279,10 @@ class ToxicityModel:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     """Fit on rows of ``labels`` (doc_id, toxic) outside the held-out fold."""
     sample, share = labelled_sample(docs, labels, "toxic", per_class)
-    # One of a group of near copies: those that begin with the same words stand for each other.
-    opening = F.xxhash64(F.substring(F.coalesce("text", F.lit("")), 1, 200), "label")
-    sample = C.saved(sample.withColumn("opening", opening).groupBy("opening").agg(F.min_by(F.struct("text", "label"), "doc_id").alias("row")).select("row.text", "row.label", (F.pmod(F.xxhash64(F.col("opening"), F.lit(7)), F.lit(2)) == 0).alias("first")), "toxicity-sample")
+    # One of a group of near copies: those whose least word hashes are the same, over the whole text.
+    least = F.slice(F.sort_array(F.transform(F.array_distinct("_words"), lambda w: F.xxhash64(w))), 1, GROUP_WORDS)
+    sample = sample.withColumn("_words", word_list(F.coalesce("text", F.lit("")))).withColumn("group", F.xxhash64(least, "label"))
+    sample = C.saved(sample.groupBy("group").agg(F.min_by(F.struct("text", "label"), "doc_id").alias("row")).select("row.text", "row.label", (F.pmod(F.xxhash64(F.col("group"), F.lit(7)), F.lit(2)) == 0).alias("first")), "toxicity-sample")
     lexicon = learn_lexicon(sample.where("first"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

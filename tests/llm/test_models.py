@@ -133,6 +133,16 @@ def test_toxicity_learns_words_and_prefixes(spark):
     assert toxicity.score_toxicity(spark.createDataFrame(EMPTY, SCHEMA), model).count() == 0
 
 
+def test_toxicity_learns_behind_a_common_header(spark):
+    header = " ".join(f"header{i}" for i in range(30)) + " "
+    rows, labels = marked(2)
+    model = toxicity.learn(frame(spark, [(i, header + t) for i, t in rows]), spark.createDataFrame(labels, LABELS))
+    assert "grobnak" in model.lexicon.words
+    fresh, truth = marked(3)
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(frame(spark, [(i, header + t) for i, t in fresh]), model).collect()}
+    assert sum((got[i] >= 0.5) == bool(t) for i, _, t in truth) / len(truth) > 0.95
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], LABELS)
     model = toxicity.learn(frame(spark, [(1, "you are an idiot")]), none)
