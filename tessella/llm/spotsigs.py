@@ -118,15 +118,25 @@ def with_next_text(docs: DataFrame, derived: str | None = None) -> DataFrame:
     return led.where("not guest").select("doc_id", *columns, *(f"next_{c}" for c in columns))
 
 
+def _signature_sets(docs: DataFrame) -> DataFrame:
+    worded = docs.select("doc_id", word_list(F.coalesce("text", F.lit(""))).alias("words"))
+    return worded.select("doc_id", signatures(F.col("words")).alias("s")).where("size(s) > 0")
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """(id, doc_id) of texts whose signature set is that of a text of smaller id: the node of ``near_pairs`` and the text."""
+    sets = _signature_sets(docs)
+    nodes = sets.groupBy("s").agg(F.min("doc_id").alias("id"))
+    return sets.join(nodes, "s").where("NOT doc_id <=> id").select("id", "doc_id").distinct()
+
+
 def near_pairs(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(a, b, likeness) of texts whose full signature sets are at least ``percent`` alike, a < b.
 
     Equal sets are one node, named by their smallest id (``members`` lists the others).  Sets are partitioned by length on
     a geometric scale: a partner is in the same partition or the next, and shares one of the rarest signatures of either.
     """
-    worded = docs.select("doc_id", word_list(F.coalesce("text", F.lit(""))).alias("words"))
-    sets = worded.select("doc_id", signatures(F.col("words")).alias("s")).where("size(s) > 0")
-    nodes = sets.groupBy("s").agg(F.min("doc_id").alias("id"))
+    nodes = _signature_sets(docs).groupBy("s").agg(F.min("doc_id").alias("id"))
     ratio = F.log(F.lit(100.0 / percent))
     nodes = nodes.withColumn("n", F.size("s")).withColumn("part", F.floor(F.log("n") / ratio))
     tokens = nodes.select("id", "n", "part", F.explode("s").alias("t"))

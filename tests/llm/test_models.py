@@ -296,3 +296,8 @@ def test_large_benchmarks_go_in_blocks(spark, monkeypatch):
     items = [(k, " ".join(f"q{k}w{j}" for j in range(20))) for k in range(11)]
     found = decontamination.decontaminate(frame(spark, items), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id) for r in found) == [(k, k) for k in range(11)]
+
+
+def test_members_of_equal_signature_sets(spark):
+    rows = [(5, "the quick fox runs to a hill"), (2, "The quick fox runs to a hill!"), (9, "the quick fox runs to a hill"), (7, "other words"), (8, None)]
+    assert {tuple(r) for r in spotsigs.members(frame(spark, rows)).collect()} == {(2, 5), (2, 9)}
