@@ -8,8 +8,10 @@ therefore moves nearly incompressible hash bytes only, and a bucket's memory is
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,6 @@ from pyspark.sql import functions as F
 # The separators between words, space and tab to carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
-NO_ID = np.iinfo(np.int64).max
 SLICE_BYTES = 1 << 20
 
 _U64 = np.uint64
@@ -59,33 +60,68 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def limit_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Keep Arrow batches small: texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Keep Arrow batches small, as texts can be very long, unless the caller has set a size.
+
+    Spark reads the setting when a plan runs, after the operator has returned, so it stays.
+    """
+    if spark.conf.get(BATCH_BYTES, size) == size:
+        spark.conf.set(BATCH_BYTES, size)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that all executors share; the cluster's own setting wins."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that no plan reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning = threading.Lock()
+_cleaners: list[str] = []
+
+
+@contextmanager
+def _clean_shuffles(spark: SparkSession):
+    """Shuffle files go when their step is done; the caller's setting returns with the last step that is under way."""
+    with _cleaning:
+        _cleaners.append(_cleaners[0] if _cleaners else spark.conf.get(CLEANUP, "false"))
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _cleaning:
+            before = _cleaners.pop()
+            if not _cleaners:
+                spark.conf.set(CLEANUP, before)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back.  The step's shuffle files go as soon as it is done."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _clean_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table of ``saved`` after its last reader has run."""
+    delete(table.sparkSession, table._scratch_path)
 
 
 def schema_with(df: DataFrame, **columns: str) -> str:
@@ -224,8 +260,22 @@ def runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def ids(column: pa.Array) -> np.ndarray:
-    """Ids as int64; null becomes NO_ID, which sorts last."""
-    return column.cast(pa.int64()).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
+    """Ids as int64; ``null_mask`` tells a null from the 0 that stands for it here."""
+    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def null_mask(column: pa.Array) -> np.ndarray:
+    return column.is_null().to_numpy(zero_copy_only=False)
+
+
+def id_bytes(column: pa.Array) -> bytes:
+    """Ids and which are null; ``id_array`` reads them."""
+    return bundle(ids(column), null_mask(column))
+
+
+def id_array(body) -> pa.Array:
+    values, nulls = unbundle(body)
+    return pa.array(np.frombuffer(values, np.int64), mask=np.frombuffer(nulls, bool))
 
 
 def arrow_batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -307,8 +357,9 @@ def ask_all(
 
     Large tables come apart, as ``tables``, and skip the first exchange.
 
-    ``answer`` gets a bucket and its (flush, question) pairs and yields (flush, answer); ``resolve`` gets a flush's name,
-    table and answers.  The order of rows within a task must be fixed for a flush to be the same in a repeated task.
+    ``answer`` gets a bucket and its (flush, question) pairs, in order of flush, and yields (flush, answer); ``resolve``
+    gets a flush's name, table and answers, these in order of bucket.  So what they do does not depend on the order in
+    which a shuffle delivers rows.  The rows of an asking task must come in a fixed order: from files, or sorted.
     """
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +372,8 @@ def ask_all(
                     held.setdefault(bucket, []).append((flush, body))
         return_memory()
         for bucket in sorted(held):
-            rows = [(bucket, flush, body) for flush, body in answer(bucket, held.pop(bucket))]
+            asked = sorted(held.pop(bucket), key=lambda row: row[0])
+            rows = [(bucket, flush, body) for flush, body in answer(bucket, asked)]
             if rows:
                 yield arrow_batch(ASK_ARROW, rows)
         return_memory()
@@ -362,5 +414,14 @@ def from48(data, bucket: int = 0) -> np.ndarray:
     return out.view("<u8").reshape(-1) | _U64(bucket << 48)
 
 
+# Entries that a flush should have for each bucket.
+PER_BUCKET = 64
+
+
+def flush_size(least: int, buckets: int) -> int:
+    """Entries of a flush: more with more buckets, so that rows (flushes times buckets) stay few beside entries."""
+    return max(least, PER_BUCKET * buckets)
+
+
 def flush_name(sequence: int) -> int:
     return (TaskContext.get().partitionId() << 32) + sequence

@@ -34,5 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-        edges = C.saved(_star(_star(edges, large=True), large=False), "links")
+        closer = C.saved(_star(_star(edges, large=True), large=False), "links")
+        C.forget(edges)
+        edges = closer
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -175,8 +175,7 @@ def count_tables(docs: DataFrame, min_count: int) -> DataFrame:
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, flush in flushes(batches, FLUSH_TOKENS):
-            ids = C.ids(flush.doc_id)
-            yield C.arrow_batch(C.ASK_ARROW, [(-1, name, C.bundle(ids, flush.train, C.planes(flush.n_words), C.planes(flush.token), flush.hash))])
+            yield C.arrow_batch(C.ASK_ARROW, [(-1, name, C.bundle(C.id_bytes(flush.doc_id), flush.train, C.planes(flush.n_words), C.planes(flush.token), flush.hash))])
 
     def answer(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         parts = [C.unbundle(body) for _, body in rows]
@@ -270,7 +269,7 @@ class State:
 
     def __init__(self, body: bytes):
         ids, train, n_words, token, words, asked, h, pairs, codes, owned = C.unbundle(body)
-        self.ids, self.train = np.frombuffer(ids, np.int64), np.frombuffer(train, bool)
+        self.ids, self.train = bytes(ids), np.frombuffer(train, bool)
         self.n_words, self.token = C.from_planes(n_words), C.from_planes(token)
         self.asked, self.hash = C.unsmall(asked), np.frombuffer(h, _U)
         self.word_count, self.pair_count = C.expand(words, np.int64), C.expand(pairs, np.int64)
@@ -338,7 +337,7 @@ def score_texts(states: DataFrame, model: Model) -> DataFrame:
 
     def resolve(_: int, table: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, train, n_words, known, base, score, text, history, places = C.unbundle(table)
-        ids, train, n_words = np.frombuffer(ids, np.int64), np.frombuffer(train, bool), np.frombuffer(n_words, np.int32)
+        ids, train, n_words = C.id_array(ids), np.frombuffer(train, bool), np.frombuffer(n_words, np.int32)
         places = C.from_planes(places)
         alpha = np.ones(len(places))
         parts = sorted(((int(np.frombuffer(b, np.int64)[0]), a) for b, a in map(C.unbundle, answers)), key=lambda x: x[0])
@@ -347,7 +346,7 @@ def score_texts(states: DataFrame, model: Model) -> DataFrame:
         weight = np.bincount(C.unsmall(text), np.log10(alpha)[C.from_planes(history)], len(ids))
         n = n_words.astype(np.int64) + 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=ids == C.NO_ID), pa.array(~train), pa.array(n), pa.array(np.frombuffer(known, np.int64)), pa.array(np.frombuffer(base)), pa.array(np.frombuffer(score) + weight)], schema=SCORE_ARROW
+            [ids, pa.array(~train), pa.array(n), pa.array(np.frombuffer(known, np.int64)), pa.array(np.frombuffer(base)), pa.array(np.frombuffer(score) + weight)], schema=SCORE_ARROW
         )
 
     return C.ask_all(states.select("flush", "body").mapInArrow(questions, C.ASK), answer, resolve, SCORE, tasks, states.select("flush", "body").mapInArrow(tables, C.ASK))

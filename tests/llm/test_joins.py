@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import components, ngram_join, substring_dedup
+from tessella.llm import common as C
+from tessella.llm import components, katz, ngram_join, substring_dedup
 
 from .fixtures import EMPTY, LOWER, SCHEMA, WORD, awkward, corpus, frame
 
@@ -32,6 +36,7 @@ def plain_substrings(rows, window):
 @pytest.mark.parametrize("flush", [50, 1 << 19])
 def test_substring_dedup(spark, seed, flush, monkeypatch):
     monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+    monkeypatch.setattr(C, "PER_BUCKET", 1)
     rows = corpus(seed)
     expected = plain_substrings(rows, 20)
     assert sum(e[1] for e in expected.values()) > 100
@@ -82,6 +87,7 @@ def plain_join(rows, size, percent):
 @pytest.mark.parametrize("flush,common", [(700_000, 64), (60, 3)])
 def test_ngram_join(spark, seed, percent, size, flush, common, monkeypatch):
     monkeypatch.setattr(ngram_join, "FLUSH", flush)
+    monkeypatch.setattr(C, "PER_BUCKET", 1)
     monkeypatch.setattr(ngram_join, "COMMON", common)
     rows = corpus(seed)
     expected, links = plain_join(rows, size, percent)
@@ -98,12 +104,94 @@ def test_ngram_join_nulls_repeats_and_empty(spark):
     assert ngram_join.ngram_join(spark.createDataFrame(EMPTY, SCHEMA)).count() == 0
 
 
-def test_near_copies_stay_linear(spark):
+def _joined(spark, rows):
+    return {r.doc_id: r.component_id for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
+
+
+def test_ngram_join_small_tables(spark):
+    text = "one two three four five six seven"
+    assert _joined(spark, [(4, text)]) == {4: 4}
+    assert _joined(spark, [(4, text), (5, "other words stand here in this one")]) == {4: 4, 5: 5}
+    # Copies within one flush, with nothing else that shares an n-gram.
+    one = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in ((6, text), (4, text), (9, "x y"))], SCHEMA).coalesce(1)
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(one).collect()} == {6: 4, 4: 4, 9: 9}
+
+
+def test_ngram_join_takes_any_id(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    a, b, c = ("a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z aa bb cc dd")
+    rows = [(high, a), (high - 1, a + " z"), (None, a), (low, b), (high - 2, b), (None, c), (None, c)]
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.ngram_join(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(high, high - 1), (high - 1, high - 1), (None, high - 1), (low, low), (high - 2, low), (None, None), (None, None)], key=repr)
+
+
+def _nodes(spark, texts, size=1):
+    """Sets as the join makes them, each n-gram shared."""
+    rows = [(i, i, len(set(t)), np.array(sorted({hash_of(w) for w in t}), np.uint64).tobytes()) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "node long, part long, n int, hashes binary").repartition(3)
+
+
+def hash_of(word):
+    return int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "little")
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_pairs_are_proposed_once_and_none_is_missed(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(5)
+    bases = [[f"w{rng.randrange(40)}" for _ in range(rng.randint(6, 20))] for _ in range(15)]
+    texts = [[rng.choice([w, w, w, w, w, f"w{rng.randrange(40)}"]) for w in bases[i % 15]] for i in range(60)]
+    sets = _nodes(spark, texts)
+    alike = {(i, j) for i in range(60) for j in range(i) if 100 * len({*texts[i]} & {*texts[j]}) >= 50 * len({*texts[i]} | {*texts[j]})}
+    stars = [(r.a, r.b) for r in ngram_join.star_candidates(sets, 50).collect()]
+    cross = [(r.a, r.b) for r in ngram_join.cross_candidates(sets, 50).collect()]
+    assert len(set(stars)) == len(stars) and len(set(cross)) == len(cross)
+    assert {(j, i) for i, j in alike} <= set(cross) and set(stars) <= set(cross) and len(alike) > 20
+    pairs = spark.createDataFrame(cross, ngram_join.PAIRS_DDL)
+    checked = ngram_join.verified(pairs, sets, 50).collect()
+    assert len(checked) == len(cross) and {(r.b, r.a) for r in checked if r.linked} == alike
+
+
+def test_near_copies_stay_linear(spark, monkeypatch):
     """A group of near copies of one text ends as one component, and the candidates do not grow with its square."""
     base = [f"b{i}" for i in range(200)]
     rows = [(i, " ".join([*base[: i % 150], f"only{i}", *base[i % 150 :]])) for i in range(150)]
-    got = {r.component_id for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
-    assert got == {0}
+    counts = []
+    real = ngram_join.verified
+
+    def counted(pairs, sets, percent):
+        counts.append(pairs.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    assert set(_joined(spark, rows).values()) == {0}
+    # A copy meets the smallest member of each of its prefix n-grams, and afterwards nobody.
+    assert 149 <= counts[0] <= 150 * 60 and counts[1] == 0
+
+
+@pytest.mark.parametrize("operator", ["katz", "substring", "join"])
+def test_order_of_arrival_does_not_matter(spark, monkeypatch, operator):
+    """What a shuffle delivers in another order, as after a lost executor, gives the same owners, statistics and results."""
+    monkeypatch.setattr(katz, "FLUSH_TOKENS", 300)
+    monkeypatch.setattr(substring_dedup, "FLUSH", 60)
+    monkeypatch.setattr(ngram_join, "FLUSH", 60)
+    monkeypatch.setattr(C, "PER_BUCKET", 1)
+    real = C.ask_all
+    run = {
+        "katz": lambda df: katz.katz_scores(df, F.col("doc_id") % 3 != 0, 1),
+        "substring": lambda df: substring_dedup.substring_dedup(df, 20).select("doc_id", "text", "n_removed", "kept_text"),
+        "join": ngram_join.ngram_join,
+    }[operator]
+    results = []
+    for seed in (1, 2):
+
+        def shuffled(asks, answer, resolve, schema, partitions, tables=None, seed=seed):
+            mixed = C.saved(asks.repartition(5, F.rand(seed)).sortWithinPartitions(F.rand(seed)), "mixed")
+            return real(mixed, answer, resolve, schema, partitions, tables)
+
+        monkeypatch.setattr(C, "ask_all", shuffled)
+        results.append(sorted(map(repr, run(frame(spark, corpus(3))).collect())))
+    assert results[0] == results[1]
 
 
 def test_components(spark):
