@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage through a table in the shared checkpoint folder (its own one where none is set, as in tests)."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     path = f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -23,6 +27,7 @@ def dependents(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> Da
 
     Each round joins the newest keys only, and drops those that are known: cycles end by themselves.
     """
+    edges = materialise(edges.select("from_key", "to_key"))
     known = materialise(seeds.select("key").distinct().withColumn("depth", F.lit(0)))
     frontier = known
     for depth in range(1, max_rounds + 1):
@@ -93,16 +98,17 @@ def chains(spark, links: DataFrame) -> DataFrame:
     A walk stops at the first base that it has visited, so none is longer than there are links.  Beyond Spark's limit of
     rows in a recursion (``spark.sql.cteRecursionRowLimit``) the query fails.
     """
-    links.createOrReplaceTempView("_chain_links")
     longest = links.count()
     walked = spark.sql(
-        f"""WITH RECURSIVE walk(start, at, path, cyclic) MAX RECURSION LEVEL {longest + 1} AS (
-            SELECT name, base, array(name), base = name FROM _chain_links
+        """WITH RECURSIVE walk(start, at, path, cyclic) MAX RECURSION LEVEL {levels} AS (
+            SELECT name, base, array(name), base = name FROM {links}
             UNION ALL
             SELECT w.start, l.base, array_append(w.path, l.name), array_contains(w.path, l.base) OR l.base = l.name
-            FROM walk w JOIN _chain_links l ON l.name = w.at
+            FROM walk w JOIN {links} l ON l.name = w.at
             WHERE NOT w.cyclic)
-        SELECT start, at, path, cyclic FROM walk"""
+        SELECT start, at, path, cyclic FROM walk""",
+        links=links,
+        levels=longest + 1,
     )
     last = walked.groupBy("start").agg(F.max_by(F.struct("at", F.size("path").alias("length"), "cyclic"), F.size("path")).alias("r"))
     return last.select("start", F.when(~F.col("r.cyclic"), F.col("r.at")).alias("target"), F.col("r.length").cast("long").alias("length"), F.col("r.cyclic").alias("cyclic"))

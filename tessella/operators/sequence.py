@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import materialise
+
 
 def missing_guard(rows: DataFrame, group: str, order: str, needs_guard: Column, is_guard: Column) -> DataFrame:
     """Rows that need a guard directly before them and have none."""
@@ -63,12 +65,42 @@ def top(rows: DataFrame, group: list[str], n: int, *order: Column) -> DataFrame:
     return rows.withColumn("place", place.cast("long")).where(F.col("place") <= n)
 
 
-# When an operation of a kind takes place.
-OPERATION_RANK = {"drop": 1, "rename": 2, "create": 3, "change": 4}
+def number(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """``place``: 1, 2, ... in one order of all rows, without a task that sees all.
+
+    Ranges of the order go to tasks and are numbered there; the sizes of the ranges, a row each, are added up.  Ranges
+    come from a sample, so the dealt rows are written down before they are counted.
+    """
+    names = [f"_by{i}" for i in range(len(order))]
+    keyed = rows.select("*", *((F.col(o) if isinstance(o, str) else o).alias(n) for o, n in zip(order, names, strict=True)))
+    dealt = materialise(keyed.repartitionByRange(*names).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*names))
+    return dealt.withColumn("_at", within).join(starts, "_range").withColumn("place", (F.col("_start") + F.col("_at")).cast("long")).drop("_at", "_start", "_range", *names)
+
+
+# Kinds in the order in which they are created, ten apart; they are dropped in reverse.
+KINDS = (
+    "schema", "extension", "enum", "type", "domain", "sequence", "foreign-data-wrapper", "foreign-server", "table", "foreign-table", "constraint",
+    "index", "function", "procedure", "view", "materialized-view", "trigger", "rls", "policy", "default-privilege", "grant", "comment",
+)
+# Where the ranks of drops (downwards), renames, creations and changes begin, and a kind that is not listed.
+DROP_FROM, RENAME_FROM, CREATE_FROM, CHANGE_FROM, UNLISTED = 1000, 900, 1000, 1050, 500
+
+
+def operation_rank(op: Column, kind: Column) -> Column:
+    """The first key of the order of operations; ``operation_ordinal`` and the key follow."""
+    ranks = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (k, 10 * (i + 1))))
+    listed = F.coalesce(ranks[kind], F.lit(UNLISTED))
+    drop = F.when(ranks[kind].isNull(), UNLISTED).otherwise(DROP_FROM - listed)
+    return F.when(op == "drop", drop).when(op == "rename", RENAME_FROM + listed).when(op == "change", CHANGE_FROM + listed).otherwise(CREATE_FROM + listed)
 
 
-def operation_rank(op: Column) -> Column:
-    return F.create_map(*(F.lit(x) for kv in OPERATION_RANK.items() for x in kv))[op]
+def operation_ordinal(op: Column, ordinal: Column) -> Column:
+    """Later objects are dropped first."""
+    return F.when(op == "drop", -ordinal).otherwise(ordinal)
 
 
 def next_version(versions: DataFrame, version: str, now: str) -> DataFrame:

@@ -10,20 +10,12 @@ from pyspark.sql import functions as F
 
 from ..ddl import checks
 from ..ddl.render import operation
-from ..operators import diff, graph, rollup
+from ..operators import diff, graph, rollup, sequence
 from ..sources import readers
 
 # Kinds whose drop, and whose replacement, loses data or access.
 DESTRUCTIVE_DROPS = ("table", "schema", "type", "enum", "domain", "sequence", "view", "materialized-view", "function", "procedure", "extension", "constraint", "foreign-table", "policy", "rls")
 DESTRUCTIVE_REPLACES = ("table", "materialized-view", "type", "domain", "sequence", "constraint", "extension", "foreign-table", "enum")
-# In which order kinds are created; they are dropped in reverse.
-CREATE_RANK = {
-    k: i
-    for i, k in enumerate(
-        ("schema", "extension", "type", "domain", "enum", "sequence", "table", "foreign-table", "constraint", "index", "function", "procedure", "view", "materialized-view", "trigger", "rls", "policy", "grant", "default-privilege", "comment")
-    )
-}
-
 
 def inspect(spark: SparkSession, source: str) -> DataFrame:
     return readers.read_source(spark, source)
@@ -34,12 +26,11 @@ def operations(before: DataFrame, after: DataFrame) -> DataFrame:
     ops = diff.snapshot_diff(before, after)
     described = after.select("key", "kind", "schema_name", "name", "ordinal", "dependencies", F.lit(1).alias("_side")).unionByName(before.select("key", "kind", "schema_name", "name", "ordinal", "dependencies", F.lit(0).alias("_side")))
     one = diff.last_wins(described, "key", "_side").drop("_side")
-    ranks = F.create_map(*(F.lit(x) for kv in CREATE_RANK.items() for x in kv))
-    create = F.coalesce(ranks[F.col("kind")], F.lit(len(CREATE_RANK)))
-    rank = F.when(F.col("op") == "drop", 1000 - create).when(F.col("op") == "change", 1050 + create).otherwise(2000 + create)
+    rank = sequence.operation_rank(F.col("op"), F.col("kind"))
     lossy = F.when(F.col("op") == "drop", F.col("kind").isin(*DESTRUCTIVE_DROPS)).when(F.col("op") == "change", F.col("kind").isin(*DESTRUCTIVE_REPLACES)).otherwise(False)
-    out = ops.join(one, "key").select("key", "op", F.col("kind").alias("object_kind"), lossy.alias("destructive"), F.when(F.col("op") == "drop", -F.col("ordinal")).otherwise(F.col("ordinal")).cast("long").alias("ordinal"), rank.cast("long").alias("rank"), F.when(F.col("kind") == "schema", F.col("name")).otherwise(F.concat_ws(".", "schema_name", "name")).alias("identity"), "dependencies")
-    return out
+    ordinal = sequence.operation_ordinal(F.col("op"), F.col("ordinal")).cast("long")
+    identity = F.when(F.col("kind") == "schema", F.col("name")).otherwise(F.concat_ws(".", "schema_name", "name"))
+    return ops.join(one, "key").select("key", "op", F.col("kind").alias("object_kind"), lossy.alias("destructive"), ordinal.alias("ordinal"), rank.cast("long").alias("rank"), identity.alias("identity"), "dependencies")
 
 
 def plan(before: DataFrame, after: DataFrame, plan_id: str = "plan") -> DataFrame:

@@ -165,14 +165,20 @@ def _(t):
     return diff.column_deltas(t.spark.createDataFrame(COLUMNS_BEFORE, COLUMN_DDL), t.spark.createDataFrame(COLUMNS_AFTER, COLUMN_DDL))
 
 
-@query("fk_target_completion", "SELECT * FROM (VALUES ('orders_customer', 'orders', 'customer', 'c_custkey', FALSE), ('line_order', 'lineitem', 'orders', 'o_orderkey', FALSE), ('line_self', 'lineitem', 'lineitem', 'l_linenumber,l_orderkey', TRUE), ('nation_none', 'nation', 'nowhere', NULL, FALSE)) AS v(name, table_name, ref_table, ref_columns, one_to_one)")
+@query(
+    "fk_target_completion",
+    """SELECT f.name, f.table_name, f.ref_table, p.columns AS ref_columns, EXISTS (SELECT 1 FROM customer c WHERE 't' || c_custkey % 40 = f.table_name AND list_sort(['c' || c_custkey % 3, 'k' || c_custkey % 2]) = list_sort(f.columns)) AS one_to_one
+    FROM (SELECT 'fk' || o_orderkey AS name, 't' || o_custkey % 40 AS table_name, ['k' || o_orderkey % 4, 'c' || o_orderkey % 3] AS columns, 't' || o_orderkey % 50 AS ref_table FROM orders) f
+    LEFT JOIN (SELECT 't' || n_nationkey AS table_name, 'id,r' || n_regionkey AS columns FROM nation) p ON p.table_name = f.ref_table""",
+)
 def _(t):
-    fks = t.spark.createDataFrame(
-        [("orders_customer", "orders", ["o_custkey"], "customer", None), ("line_order", "lineitem", ["l_orderkey"], "orders", ["o_orderkey"]), ("line_self", "lineitem", ["l_linenumber", "l_orderkey"], "lineitem", ["l_linenumber", "l_orderkey"]), ("nation_none", "nation", ["n_regionkey"], "nowhere", None)],
-        "name string, table_name string, columns array<string>, ref_table string, ref_columns array<string>",
-    )
-    primary = t.spark.createDataFrame([("customer", ["c_custkey"]), ("orders", ["o_orderkey"])], "table_name string, columns array<string>")
-    unique = t.spark.createDataFrame([("lineitem", ["l_orderkey", "l_linenumber"]), ("orders", ["o_orderkey"])], "table_name string, columns array<string>")
+    name = lambda prefix, value: F.concat(F.lit(prefix), value.cast("string"))
+    key, cust = F.col("o_orderkey"), F.col("c_custkey")
+    own = F.array(name("k", key % 4), name("c", key % 3))
+    none = F.lit(None).cast("array<string>")
+    fks = t.orders.select(name("fk", key).alias("name"), name("t", F.col("o_custkey") % 40).alias("table_name"), own.alias("columns"), name("t", key % 50).alias("ref_table"), none.alias("ref_columns"))
+    primary = t.nation.select(name("t", F.col("n_nationkey")).alias("table_name"), F.array(F.lit("id"), name("r", F.col("n_regionkey"))).alias("columns"))
+    unique = t.customer.select(name("t", cust % 40).alias("table_name"), F.array(name("c", cust % 3), name("k", cust % 2)).alias("columns"))
     return diff.fk_targets(fks, primary, unique)
 
 
@@ -299,18 +305,6 @@ def _(t):
 
 @query(
     "full_set_to_all",
-    "SELECT target, grantee, CASE WHEN count(DISTINCT privilege) = 5 THEN 'ALL' ELSE string_agg(DISTINCT privilege, ',' ORDER BY privilege) END AS members FROM privs WHERE verb = 'GRANT' AND ordinal % 4 = 0 GROUP BY 1, 2",
-    "privs",
-)
-def _(t):
-    full = t.spark.createDataFrame([("click",), ("error",), ("purchase",), ("signup",), ("view",)], "privilege string")
-    return fold.collapse_full(t.privileges().where("verb = 'GRANT' AND ordinal % 4 = 0"), ["target", "grantee"], "privilege", full)
-
-
-# All grants of the log, of which the query above reads a part.  A day is a key besides, so that groups with and without
-# every privilege occur.
-@query(
-    "full_set_to_all_whole",
     "SELECT target, grantee, day, CASE WHEN count(DISTINCT privilege) = 5 THEN 'ALL' ELSE string_agg(DISTINCT privilege, ',' ORDER BY privilege) END AS members FROM (SELECT user_id % 20 AS target, user_id % 7 AS grantee, CAST(ts AS DATE) AS day, event_type AS privilege FROM events WHERE event_id % 3 <> 0) GROUP BY 1, 2, 3",
 )
 def _(t):
@@ -452,17 +446,27 @@ def _(t):
     return sequence.renumber(t.objects(), ["kind"], F.col("ordinal"), F.col("key")).select("key", "position")
 
 
+_KINDS = ", ".join(f"'{k}'" for k in sequence.KINDS)
+_RANKS = " ".join(f"WHEN '{k}' THEN {10 * (i + 1)}" for i, k in enumerate(sequence.KINDS))
+OPERATIONS_SQL = f"""SELECT key, op, ordinal, [{_KINDS}][1 + ordinal % {len(sequence.KINDS)}] AS kind FROM (
+    SELECT key, op, CAST(split_part(key, ':', 2) AS BIGINT) AS ordinal FROM ({DIFF_SQL}) UNION ALL SELECT 'customer:' || c_custkey, 'rename', c_custkey FROM customer)"""
+
+
 @query(
     "operation_sort",
-    f"SELECT key, op, row_number() OVER (PARTITION BY op ORDER BY CASE WHEN op = 'drop' THEN -ordinal ELSE ordinal END, key) AS place, CAST(CASE op WHEN 'drop' THEN 1 WHEN 'create' THEN 3 ELSE 4 END AS INTEGER) AS rank FROM (SELECT *, CAST(split_part(key, ':', 2) AS BIGINT) AS ordinal FROM ({DIFF_SQL}))",
+    f"""SELECT key, op, kind, rank, row_number() OVER (ORDER BY rank, CASE WHEN op = 'drop' THEN -ordinal ELSE ordinal END, key) AS place FROM (
+    SELECT *, CASE op WHEN 'drop' THEN 1000 - r WHEN 'rename' THEN 900 + r WHEN 'change' THEN 1050 + r ELSE 1000 + r END AS rank FROM (SELECT *, CASE kind {_RANKS} END AS r FROM ({OPERATIONS_SQL})))""",
     "snap_from",
     "snap_to",
 )
 def _(t):
-    ops = diff.snapshot_diff(*t.snapshots()).withColumn("ordinal", F.split_part("key", F.lit(":"), F.lit(2)).cast("long"))
-    order = [F.when(F.col("op") == "drop", -F.col("ordinal")).otherwise(F.col("ordinal")), F.col("key")]
-    ranked = sequence.renumber(ops.withColumn("rank", sequence.operation_rank(F.col("op"))), ["op"], *order)
-    return ranked.select("key", "op", (F.col("position") + 1).alias("place"), "rank")
+    ops = diff.snapshot_diff(*t.snapshots()).select("key", "op", F.split_part("key", F.lit(":"), F.lit(2)).cast("long").alias("ordinal"))
+    renamed = t.customer.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("key"), F.lit("rename").alias("op"), F.col("c_custkey").alias("ordinal"))
+    kinds = F.array(*map(F.lit, sequence.KINDS))
+    both = ops.unionByName(renamed).withColumn("kind", kinds[(F.col("ordinal") % len(sequence.KINDS)).cast("int")])
+    ranked = both.withColumn("rank", sequence.operation_rank(F.col("op"), F.col("kind")))
+    order = ("rank", sequence.operation_ordinal(F.col("op"), F.col("ordinal")), "key")
+    return sequence.number(ranked, *order).select("key", "op", "kind", "rank", "place")
 
 
 @query("topn_per_group", "SELECT o_orderstatus, o_orderkey, place FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 5")
@@ -502,11 +506,27 @@ def _(t):
     return graph.topological_order(nodes, edges)
 
 
-@query("cycle_detection", "SELECT * FROM (VALUES ('a'), ('b'), ('c')) AS v(key)")
+@query(
+    "cycle_detection",
+    """WITH RECURSIVE e AS (SELECT s_suppkey AS src, (s_suppkey * s_suppkey + 1) % (SELECT count(*) FROM supplier) AS dst FROM supplier),
+    w(start, here) AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT w.start, e.dst FROM w JOIN e ON e.src = w.here WHERE e.src <> e.dst) SELECT DISTINCT 's' || start AS key FROM w WHERE start = here""",
+)
 def _(t):
-    return graph.cyclic_keys(t.spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("z", "a")], "src string, dst string"))
+    n = t.supplier.agg(F.count("*").alias("n"))
+    name = lambda value: F.concat(F.lit("s"), value.cast("string"))
+    key = F.col("s_suppkey")
+    return graph.cyclic_keys(t.supplier.crossJoin(F.broadcast(n)).select(name(key).alias("src"), name((key * key + 1) % F.col("n")).alias("dst")))
 
 
-@query("domain_chain", "SELECT * FROM (VALUES ('email', 'varchar', 2, FALSE), ('text_d', 'varchar', 1, FALSE), ('deep', 'varchar', 3, FALSE), ('loop_a', NULL, 2, TRUE), ('loop_b', NULL, 2, TRUE)) AS v(start, target, length, cyclic)".replace("2, F", "2::BIGINT, F").replace("1, F", "1::BIGINT, F").replace("3, F", "3::BIGINT, F").replace("2, T", "2::BIGINT, T"))
+@query(
+    "domain_chain",
+    """WITH RECURSIVE l AS (SELECT 'd' || p_partkey AS name, CASE WHEN p_size % 5 = 0 THEN 'text' ELSE 'd' || ((p_partkey * 3 + p_size) % (SELECT count(*) FROM part)) END AS base FROM part),
+    w(start, here, path, cyclic) AS (SELECT name, base, [name], base = name FROM l
+    UNION ALL SELECT w.start, l.base, list_append(w.path, l.name), list_contains(w.path, l.base) OR l.base = l.name FROM w JOIN l ON l.name = w.here WHERE NOT w.cyclic)
+    SELECT start, CASE WHEN NOT cyclic THEN here END AS target, len(path) AS length, cyclic FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY len(path) DESC) AS n FROM w) WHERE n = 1""",
+)
 def _(t):
-    return graph.chains(t.spark, t.spark.createDataFrame([("email", "text_d"), ("text_d", "varchar"), ("deep", "email"), ("loop_a", "loop_b"), ("loop_b", "loop_a")], "name string, base string"))
+    n = t.part.agg(F.count("*").alias("n"))
+    name = lambda value: F.concat(F.lit("d"), value.cast("string"))
+    base = F.when(F.col("p_size") % 5 == 0, F.lit("text")).otherwise(name((F.col("p_partkey") * 3 + F.col("p_size")) % F.col("n")))
+    return graph.chains(t.spark, t.part.crossJoin(F.broadcast(n)).select(name(F.col("p_partkey")).alias("name"), base.alias("base")))

@@ -40,10 +40,9 @@ def _(t):
     return owner.unionByName(through).groupBy("key").agg(F.min("reason").alias("reason"))
 
 
-@query("grant_target_semi", "SELECT ordinal, target FROM privs WHERE verb = 'GRANT' AND target IN (SELECT target FROM targets WHERE ordinal < 8)", "privs", "targets")
+@query("grant_target_semi", "SELECT ordinal, target FROM privs WHERE verb = 'GRANT' AND (ordinal, target) IN (SELECT (ordinal, target) FROM targets)", "privs", "targets")
 def _(t):
-    wanted = t.targets().where("ordinal < 8").select("target")
-    return t.privileges().where("verb = 'GRANT'").join(wanted, "target", "left_semi").select("ordinal", "target")
+    return t.privileges().where("verb = 'GRANT'").join(t.targets(), ["ordinal", "target"], "left_semi").select("ordinal", "target")
 
 
 @query(
@@ -57,12 +56,12 @@ def _(t):
     return t.objects().select("key").join(comments, "key").select("key", "doc_id")
 
 
-@query("routine_prefix_overlap", "SELECT a.key, b.schema_name AS owner FROM objects a JOIN (SELECT DISTINCT schema_name FROM objects WHERE schema_name LIKE 'Brand%' AND schema_name < 'Brand#2') b ON a.kind || '' IS NOT NULL AND (split_part(split_part(a.key, ':', 2), '.', 1) = b.schema_name)", "objects")
+@query("routine_prefix_overlap", "SELECT a.key, b.schema_name AS owner FROM objects a JOIN (SELECT DISTINCT schema_name FROM objects WHERE schema_name LIKE 'Brand%') b ON a.kind || '' IS NOT NULL AND (split_part(split_part(a.key, ':', 2), '.', 1) = b.schema_name)", "objects")
 def _(t):
     # A string prefix up to the dot is an equality on the part before it: no theta join.
-    owners = t.objects().where("schema_name LIKE 'Brand%' AND schema_name < 'Brand#2'").select(F.col("schema_name").alias("owner")).distinct()
+    owners = t.objects().where("schema_name LIKE 'Brand%'").select(F.col("schema_name").alias("owner")).distinct()
     rows = t.objects().select("key", F.split_part(F.split_part("key", F.lit(":"), F.lit(2)), F.lit("."), F.lit(1)).alias("owner"))
-    return rows.join(F.broadcast(owners), "owner").select("key", "owner")
+    return rows.join(owners, "owner").select("key", "owner")
 
 
 @query("first_owner_wins", "SELECT name, key FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY kind = 'supplier' DESC, ordinal, key) AS n FROM objects) WHERE n = 1", "objects")
@@ -72,20 +71,6 @@ def _(t):
 
 @query(
     "operation_dependencies",
-    "SELECT DISTINCT o.key, x.need FROM (SELECT key, ordinal FROM snap_from WHERE ordinal % 5 = 0) o JOIN (SELECT from_key AS key, to_key AS need FROM deps UNION ALL SELECT d.from_key, e.to_key FROM deps d JOIN deps e ON e.from_key = d.to_key) x ON x.key = o.key",
-    "snap_from",
-    "deps",
-)
-def _(t):
-    ops = t.snapshots()[0].where("ordinal % 5 = 0").select("key")
-    deps = t.dependencies()
-    direct = deps.select(F.col("from_key").alias("key"), F.col("to_key").alias("need"))
-    second = deps.join(deps.select(F.col("from_key").alias("to_key"), F.col("to_key").alias("need")), "to_key").select(F.col("from_key").alias("key"), "need")
-    return ops.join(direct.unionByName(second), "key").distinct()
-
-
-@query(
-    "operation_dependencies_whole",
     "SELECT DISTINCT o.key, x.need FROM (SELECT key FROM snap_from) o JOIN (SELECT from_key AS key, to_key AS need FROM deps UNION ALL SELECT d.from_key, e.to_key FROM deps d JOIN deps e ON e.from_key = d.to_key) x ON x.key = o.key",
     "snap_from",
     "deps",
@@ -152,11 +137,16 @@ def _(t):
     return merged.where("_rows >= 2").drop("_rows")
 
 
-@query("column_grant_absorption", "SELECT target, grantee, privilege FROM privs p WHERE verb = 'GRANT' AND ordinal % 4 = 1 AND NOT EXISTS (SELECT 1 FROM privs w WHERE w.verb = 'GRANT' AND w.ordinal % 32 = 0 AND w.target = p.target AND w.grantee = p.grantee AND w.privilege = p.privilege) GROUP BY ALL", "privs")
+@query(
+    "column_grant_absorption",
+    """WITH g AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, value > 30 AS whole FROM events)
+    SELECT DISTINCT user_id, event_type, day FROM g p WHERE NOT whole AND NOT EXISTS (SELECT 1 FROM g w WHERE w.whole AND w.user_id = p.user_id AND w.event_type = p.event_type AND w.day = p.day)""",
+)
 def _(t):
-    grants = t.privileges().where("verb = 'GRANT'")
-    keys = ["target", "grantee", "privilege"]
-    return grants.where("ordinal % 4 = 1").select(*keys).distinct().join(grants.where("ordinal % 32 = 0").select(*keys), keys, "left_anti")
+    # Low values stand for grants on columns, high ones for grants on whole tables.
+    keys = ["user_id", "event_type", "day"]
+    grants = t.events.withColumn("day", F.to_date("ts"))
+    return grants.where("value <= 30").select(*keys).distinct().join(grants.where("value > 30").select(*keys), keys, "left_anti")
 
 
 @query("cleared_pairs", "SELECT target, grantee, privilege, count(*) FILTER (verb = 'REVOKE' AND before = 'GRANT') AS cleared FROM (SELECT *, lag(verb) OVER (PARTITION BY target, grantee, privilege ORDER BY ordinal) AS before FROM privs) GROUP BY 1, 2, 3", "privs")

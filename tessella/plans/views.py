@@ -12,27 +12,13 @@ from .catalogue import query
 # --- catalog-shaped queries -----------------------------------------------------------------------------------------------
 
 
-@query("acl_explode_group", "SELECT target, grantee, string_agg(DISTINCT p, ',' ORDER BY p) AS privileges FROM (SELECT target, grantee, unnest(acl) AS p FROM (SELECT target, grantee, list(privilege) AS acl FROM privs WHERE ordinal % 2 = 0 GROUP BY 1, 2)) GROUP BY 1, 2", "privs")
-def _(t):
-    acl = t.privileges().where("ordinal % 2 = 0").groupBy("target", "grantee").agg(F.collect_set("privilege").alias("acl"))
-    return acl.select("target", "grantee", F.explode("acl").alias("p")).groupBy("target", "grantee").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("privileges"))
-
-
-@query("with_ordinality", "SELECT vec_id, CAST(i AS INTEGER) AS pos, round(CAST(e AS DOUBLE), 6) AS x FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE i < 3")
-def _(t):
-    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("pos", "e")).where("pos < 3").select("vec_id", "pos", F.round(F.col("e").cast("double"), 6).alias("x"))
-
-
-# Whole tables: the two queries above, as registered with their SQL, read a part of theirs.
-
-
-@query("acl_explode_group_whole", "SELECT target, grantee, string_agg(DISTINCT p, ',' ORDER BY p) AS privileges FROM (SELECT target, grantee, unnest(acl) AS p FROM (SELECT target, grantee, list(privilege) AS acl FROM privs GROUP BY 1, 2)) GROUP BY 1, 2", "privs")
+@query("acl_explode_group", "SELECT target, grantee, string_agg(DISTINCT p, ',' ORDER BY p) AS privileges FROM (SELECT target, grantee, unnest(acl) AS p FROM (SELECT target, grantee, list(privilege) AS acl FROM privs GROUP BY 1, 2)) GROUP BY 1, 2", "privs")
 def _(t):
     acl = t.privileges().groupBy("target", "grantee").agg(F.collect_set("privilege").alias("acl"))
     return acl.select("target", "grantee", F.explode("acl").alias("p")).groupBy("target", "grantee").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("privileges"))
 
 
-@query("with_ordinality_whole", "SELECT vec_id, CAST(i AS INTEGER) AS pos, CAST(e AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")
+@query("with_ordinality", "SELECT vec_id, CAST(i AS INTEGER) AS pos, CAST(e AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")
 def _(t):
     return t.embeddings.select("vec_id", F.posexplode("embedding").alias("pos", "e")).select("vec_id", "pos", F.col("e").cast("double").alias("x"))
 
@@ -250,7 +236,13 @@ def _(t):
     return t.part.select("p_partkey", X.quote_name(F.col("p_name")).alias("name"))
 
 
-@query("canonical_types", "SELECT * FROM (VALUES ('int4', 'integer'), ('varchar(20)', 'character varying(20)'), ('decimal(10,2)', 'numeric(10,2)'), ('int8[]', 'bigint[]'), ('my_type', 'my_type')) AS v(name, canonical)")
+@query(
+    "canonical_types",
+    """SELECT p_partkey, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN 'integer' WHEN 1 THEN 'character varying(' || p_size || ')' WHEN 2 THEN 'numeric(' || p_size || ',2)'
+    WHEN 3 THEN 'bigint[]' WHEN 4 THEN 'my_type_' || p_size ELSE 'boolean' END AS canonical FROM part""",
+)
 def _(t):
-    rows = t.spark.createDataFrame([("int4",), ("varchar(20)",), ("decimal(10,2)",), ("int8[]",), ("my_type",)], "name string")
-    return rows.select("name", X.canonical_type(F.col("name")).alias("canonical"))
+    size = F.col("p_size").cast("string")
+    names = [F.lit("int4"), F.concat(F.lit("varchar("), size, F.lit(")")), F.concat(F.lit("DECIMAL("), size, F.lit(",2)")), F.lit("int8[]"), F.concat(F.lit("my_type_"), size), F.lit("Bool")]
+    name = F.array(*names)[(F.col("p_partkey") % 6).cast("int")]
+    return t.part.select("p_partkey", X.canonical_type(name).alias("canonical"))

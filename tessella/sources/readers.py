@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ddl.replay import OBJECTS, replay_histories
+from ..operators import pgcatalog
+from . import pg_views
 
 FILES = "file string, sql string"
 BOOTSTRAP = "_bootstrap"
@@ -67,9 +69,8 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def database(spark: SparkSession, url: str, **options: str) -> DataFrame:
-    """The columns of a live catalog over JDBC, as (table_name, column_name, type, not_null); the driver must be on the class path."""
-    query = "SELECT table_schema || '.' || table_name AS table_name, column_name, data_type AS type, is_nullable = 'NO' AS not_null FROM information_schema.columns"
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    """The objects of a live database, out of its system catalogs over JDBC; the driver must be on the class path."""
+    return pgcatalog.state(pg_views.database(spark, url, **options))
 
 
 def migrations(spark: SparkSession, path: str, history: str = "migrations") -> DataFrame:

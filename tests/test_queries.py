@@ -33,9 +33,24 @@ def test_entry_runs_without_the_pipeline(spark, data):
 def test_whole_tables_are_read(spark, data, duck):
     count = lambda sql: duck.sql(sql).fetchall()[0][0]
     run = lambda name: plans.QUERIES[name](spark, data)
-    assert run("with_ordinality_whole").count() == count("SELECT sum(len(embedding)) FROM embeddings")
-    assert run("operation_dependencies_whole").select("key").distinct().count() == count("SELECT count(*) FROM orders WHERE o_orderkey % 10 <> 0")
-    assert run("acl_explode_group_whole").selectExpr("sum(size(split(privileges, ',')))").first()[0] == count("SELECT count(DISTINCT (user_id % 20, user_id % 7, event_type)) FROM events")
-    members = [r.members for r in run("full_set_to_all_whole").collect()]
+    assert run("with_ordinality").count() == count("SELECT sum(len(embedding)) FROM embeddings")
+    assert run("operation_dependencies").select("key").distinct().count() == count("SELECT count(*) FROM orders WHERE o_orderkey % 10 <> 0")
+    assert run("acl_explode_group").selectExpr("sum(size(split(privileges, ',')))").first()[0] == count("SELECT count(DISTINCT (user_id % 20, user_id % 7, event_type)) FROM events")
+    members = [r.members for r in run("full_set_to_all").collect()]
     assert "ALL" in members and len(set(members)) > 1
     assert sum(5 if m == "ALL" else m.count(",") + 1 for m in members) == count("SELECT count(DISTINCT (user_id % 20, user_id % 7, CAST(ts AS DATE), event_type)) FROM events WHERE event_id % 3 <> 0")
+
+
+def test_a_catalog_is_a_state_like_any_other(spark, data):
+    from tessella.ddl.replay import OBJECTS
+    from tessella.operators import pgcatalog
+    from tessella.plans import api
+    from tessella.sources.pg_views import fixture
+
+    state = pgcatalog.state(fixture(spark, data))
+    assert [f"{n} {t}" for n, t in state.dtypes] == [c.replace(" long", " bigint") for c in OBJECTS.split(", ")]
+    n = state.count()
+    assert n == state.select("key").distinct().count() == state.select("ordinal").distinct().count()
+    assert api.audit(state).where("by = 'kind'").selectExpr("sum(n)").first()[0] == n
+    planned = api.plan(state.where("kind <> 'enum'"), state.where("kind <> 'policy'"))
+    assert {(r.op, r.object_kind) for r in planned.collect()} == {("create", "enum"), ("drop", "policy")}
