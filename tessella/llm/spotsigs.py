@@ -1,17 +1,19 @@
 """SpotSigs document fingerprints, in DataFrame functions only.
 
-Wherever a common word (an anchor) stands in a text, the anchor and the next ``chain`` content words form a signature; up to
-``SKIP`` other anchors in a row are skipped.  Short texts, lists and tables hold few common words.  So every word, alone and
-with its follower, is a signature too in texts of up to ``short`` distinct words, and in richer ones the share
-short / distinct words of them, by least hash: about as many in any text, and the same ones in similar texts.
+Wherever a common word (an anchor) stands in a text, the anchor and the next two content words form a signature, a chain;
+other anchors in between are skipped, however many.  Two spots are anchors without a word: the start of a text, and the end
+of every ``STRETCH``-th content word in a row.  So lists, tables and short texts, which hold few common words, have chains
+too, found by the same local rule at any length; at the end of a text one content word is chain enough.
 
-A fingerprint is the sorted set of signature hashes or, for longer texts, the ``size`` smallest of them (a bottom-k sketch).
+A fingerprint is the whole set of a text's signatures: eight hexadecimal digits for each, in ascending order of the
+hashes.  Likeness is the Jaccard similarity of two whole sets.
 
-Likeness is the Jaccard similarity of two fingerprints: exact for whole sets, the bottom-k estimate otherwise.  Sets whose
-lengths alone keep the similarity below a threshold are not compared (``near_pairs``).
+``near_pairs`` partitions sets by length and compares only those whose lengths and rarest signatures allow the threshold.
 
-Defined results: null and empty texts have the empty fingerprint; equal fingerprints have likeness 1, the empty one 0 with
-any other; rows of equal id stand by text in descending order; a null id counts as the smallest.
+Defined results: null and empty texts, and those without letters or digits, have the empty fingerprint; equal fingerprints
+have likeness 1, the empty one 0 with any other; a very long text is signed whole, by one task; rows of equal id stand by
+text in descending order; repeated rows have a row each; a null id counts as the smallest; an empty table gives an empty
+one; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CHAIN, SHORT, SIZE, SKIP = 2, 100, 128, 8
+STRETCH = 4
 MARK = "\u0001"
 # Common words of four languages, the anchors.
 ANCHORS = (
@@ -37,49 +39,55 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def signatures(words: Column, chain: int = CHAIN, short: int = SHORT) -> Column:
-    """The distinct signature hashes of a list of words, ascending.  ``words`` is a column that exists: it is read per element."""
-    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*ANCHORS), F.concat(F.lit(MARK), w)).otherwise(w)), " ")
-    # From each anchor on, through the next content words; the look-ahead lets signatures overlap.
-    content, skipped = f"(?: [^{MARK} ]+)", f"(?: {MARK}[^ ]+){{0,{SKIP}}}+"
-    spots = F.regexp_extract_all(marked, F.lit(f"{MARK}(?=([^ ]+(?:{skipped}{content}){{{chain}}}))"), F.lit(1))
-    chains = F.transform(spots, lambda s: F.xxhash64(F.regexp_replace(s, f" {MARK}[^ ]+", "")))
-    followed = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i)))
-    alone = F.transform(words, lambda w: F.xxhash64(w, F.lit(1)))
-    # One pass with the bound beside the hashes: an expression inside a lambda would be evaluated per element.
-    bound = F.floor(1000 * short / F.greatest(F.size(F.array_distinct(words)), F.lit(1)))
-    bounded = F.arrays_zip(F.concat(followed, alone).alias("h"), F.array_repeat(bound, F.size(words) + F.greatest(F.size(words), F.lit(1))).alias("b"))
-    kept = F.transform(F.filter(bounded, lambda z: F.pmod(z["h"], F.lit(1000)) <= z["b"]), lambda z: z["h"])
-    few = F.when(F.size(words) > 0, kept).otherwise(F.array().cast("array<bigint>"))
-    return F.sort_array(F.array_distinct(F.concat(chains, few)))
+def spots(words: Column) -> Column:
+    """A list of words as spots: each a run of anchors and the content words up to the next run, ``STRETCH`` at most.
 
+    An anchor has a mark before it, a content word a blank, so a run of anchors is one stretch without blanks.
+    """
+    marked = F.array_join(F.transform(words, lambda w: F.concat(F.when(w.isin(*ANCHORS), MARK).otherwise(" "), w)), "")
+    content = f"(?: [^{MARK} ]+)"
+    stretched = F.regexp_replace(F.concat(F.lit(MARK), marked), f"({content}{{{STRETCH}}})(?= )", f"$1{MARK}")
+    return F.regexp_extract_all(stretched, F.lit(f"({MARK}[^ ]*{content}{{1,{STRETCH}}})"), F.lit(1))
+
+
+def signatures(found: Column) -> Column:
+    """The distinct signature hashes of spots, ascending.  ``found`` is a column that exists: it is read several times."""
+    word = lambda spot, i: F.split_part(spot, F.lit(" "), F.lit(i))
+    after = F.concat(F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), F.array(F.lit("")))
+
+    def chain(spot: Column, following: Column) -> Column:
+        # A spot has a content word at least; the second may be the first of the spot that follows.
+        second = F.when(word(spot, 3) != "", word(spot, 3)).otherwise(word(following, 2))
+        anchors = F.array_distinct(F.slice(F.split(word(spot, 1), MARK), 2, 1 << 30))
+        return F.struct(anchors.alias("anchors"), F.xxhash64(word(spot, 2), second).alias("chain"))
 
-def sketch(hashes: Column, size: int = SIZE) -> Column:
-    return F.slice(hashes, 1, size)
+    chains = F.zip_with(found, after, chain)
+    hashed = F.flatten(F.transform(chains, lambda z: F.transform(z["anchors"], lambda a: F.xxhash64(a, z["chain"]))))
+    return F.when(F.size(found) > 0, F.sort_array(F.array_distinct(hashed))).otherwise(F.array().cast("array<bigint>"))
 
 
 def fingerprint(hashes: Column) -> Column:
-    """Sixteen hexadecimal digits for each hash."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), "")
+    """Eight hexadecimal digits, the low half, of each hash."""
+    low = lambda h: F.lpad(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+    return F.array_join(F.transform(hashes, low), "")
 
 
-def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    """Similarity of two sketches: among the smallest of their union, the share that both hold."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.size(union))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_sketch(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """``rows`` with the sketch of the column ``text``."""
-    words = rows.withColumn("_words", word_list(F.col(text)))
-    return words.withColumn(name, sketch(signatures(F.col("_words")))).drop("_words")
+def with_signatures(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the signature set of the column ``text``."""
+    found = rows.withColumn("_spots", spots(word_list(F.col(text))))
+    return found.withColumn(name, signatures(F.col("_spots"))).drop("_spots")
 
 
 def with_next_text(docs: DataFrame, derived: str | None = None) -> DataFrame:
     """(doc_id, text, next_text): the text that follows in descending order of ids; after the last, the first.
 
-    With ``derived``, also the sketch of each text under that name, and of the next one under next_ and it.
+    With ``derived``, also the signature set of each text under that name, and of the next one under next_ and it.
 
     Ranges of ids are dealt to tasks; each range also gets the first row of the range that follows, so no window spans
     the table.  The bounds are a number per shuffle partition.
@@ -101,31 +109,32 @@ def with_next_text(docs: DataFrame, derived: str | None = None) -> DataFrame:
         rows = rows.withColumn("bucket", F.col("block") + F.size(F.filter(F.slice(every, F.col("block") + 1, step), lambda b: b <= F.col("key")))).drop("block")
     else:
         rows = rows.withColumn("bucket", F.size(F.filter(every, lambda b: b <= F.col("key"))))
-    # The first row of each range: its largest key, found without the texts.
+    # Each range's guest: the first row of the range that follows, found by its key; a key and a number per range.
     largest = rows.groupBy("bucket").agg(F.max("key").alias("key"))
-    firsts = rows.select("bucket", "key", "text").join(F.broadcast(largest), ["bucket", "key"]).groupBy("bucket").agg(F.max("text").alias("text"))
     down = Window.orderBy(F.desc("bucket"))
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    guests = firsts.select("bucket", F.coalesce(F.lead("text").over(down), F.first("text").over(whole)).alias("text"))
+    wanted = largest.select("bucket", F.coalesce(F.lead("key").over(down), F.first("key").over(whole)).alias("key"))
+    guests = rows.select("key", "text").join(F.broadcast(wanted), "key").groupBy("bucket").agg(F.max("text").alias("text"))
     guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("key"), "bucket", F.lit(True).alias("guest"))
     dealt = rows.withColumn("guest", F.lit(False)).unionByName(guests).repartition(n, "bucket")
     columns = ["text"]
     if derived:
-        dealt = with_sketch(dealt, "text", derived)
+        dealt = with_signatures(dealt, "text", derived)
         columns.append(derived)
     order = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), F.desc("text"))
     led = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return led.where("not guest").select("doc_id", *columns, *(f"next_{c}" for c in columns))
 
 
-def _signature_sets(docs: DataFrame) -> DataFrame:
-    worded = docs.select("doc_id", word_list(F.coalesce("text", F.lit(""))).alias("words"))
-    return worded.select("doc_id", signatures(F.col("words")).alias("s")).where("size(s) > 0")
+def signature_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, s) of the texts that have signatures."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return with_signatures(texts, "text", "s").select("doc_id", "s").where("size(s) > 0")
 
 
 def members(docs: DataFrame) -> DataFrame:
     """(id, doc_id) of texts whose signature set is that of a text of smaller id: the node of ``near_pairs`` and the text."""
-    sets = _signature_sets(docs)
+    sets = signature_sets(docs)
     nodes = sets.groupBy("s").agg(F.min("doc_id").alias("id"))
     return sets.join(nodes, "s").where("NOT doc_id <=> id").select("id", "doc_id").distinct()
 
@@ -136,7 +145,7 @@ def near_pairs(docs: DataFrame, percent: int = 75) -> DataFrame:
     Equal sets are one node, named by their smallest id (``members`` lists the others).  Sets are partitioned by length on
     a geometric scale: a partner is in the same partition or the next, and shares one of the rarest signatures of either.
     """
-    nodes = _signature_sets(docs).groupBy("s").agg(F.min("doc_id").alias("id"))
+    nodes = signature_sets(docs).groupBy("s").agg(F.min("doc_id").alias("id"))
     ratio = F.log(F.lit(100.0 / percent))
     nodes = nodes.withColumn("n", F.size("s")).withColumn("part", F.floor(F.log("n") / ratio))
     tokens = nodes.select("id", "n", "part", F.explode("s").alias("t"))
@@ -160,7 +169,7 @@ def op6_spotsigs(spark, sf_dir: str) -> DataFrame:
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
     made = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own")
-    made = with_sketch(made, "edited", "of_edited")
+    made = with_signatures(made, "edited", "of_edited")
     return made.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("of_edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("of_edited")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),

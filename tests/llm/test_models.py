@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import common as C
@@ -211,6 +214,55 @@ def test_flat_trees_walk_like_nested_ones():
 # --- fingerprints -----------------------------------------------------------------------------------------------------------
 
 
+def plain_signatures(text):
+    """Chains by walking the words; hashed as Spark does."""
+    tokens: list[tuple[bool, str]] = [(True, "")]
+    run = 0
+    found = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    for i, w in enumerate(found):
+        if w in spotsigs.ANCHORS:
+            tokens.append((True, w))
+            run = 0
+            continue
+        tokens.append((False, w))
+        run += 1
+        if run == spotsigs.STRETCH and i + 1 < len(found) and found[i + 1] not in spotsigs.ANCHORS:
+            tokens.append((True, ""))
+            run = 0
+    out = set()
+    for i, (anchor, w) in enumerate(tokens):
+        content = [x for a, x in tokens[i:] if not a][:2] if anchor else []
+        if content:
+            h = 42
+            for x in (*content, "")[:2]:
+                h = xxhash.xxh64_intdigest(x.encode(), h)
+            whole = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), xxhash.xxh64_intdigest(w.encode(), 42))
+            out.add(whole - (1 << 64 if whole >> 63 else 0))
+    return frozenset(out)
+
+
+def test_op6_against_plain_python(spark, tmp_path):
+    rng = random.Random(8)
+    mixed = [" ".join(rng.choice(["the", "of", "la", "UND", f"k{rng.randint(0, 60)}", f"Ü{rng.randint(0, 9)}-x"]) for _ in range(rng.randint(1, 80))) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate([*mixed, "the " * 9000, "a b", "the", "one", "x y z " * 50, "😀é the 𝒳 fox", None, "", " .. "])]
+    rows += [(None, "no id at all"), (-(1 << 63), "The cat and the dog."), (1000, "The cat and the dog."), ((1 << 63) - 1, "word " * 3000)]
+    awkward(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = spotsigs.op6_spotsigs(spark, str(tmp_path)).collect()
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), [-ord(c) for c in r[1] or ""]))
+    digits = lambda s: "".join(f"{h & 0xFFFFFFFF:08x}".upper() for h in sorted(s))
+    alike = lambda a, b: 1.0 if a == b else len(a & b) / len(a | b)
+    expected = []
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        third = len(t) // 3
+        edited = t[: len(t) - third] + after[:third]
+        own, of_edited, of_next = map(plain_signatures, (t, edited, after))
+        expected.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), digits(own), digits(of_edited), pytest.approx(alike(own, of_edited)), pytest.approx(alike(own, of_next))))
+    assert len(got) == len(rows)
+    for want in expected:
+        assert any(tuple(r) == want for r in got if r.doc_id == want[0]), want
+
+
 def test_spotsigs(spark):
     rows = [*corpus(), (None, "no id at all"), (1000, "The cat and the dog."), (999, "The cat and the dog.")]
     pairs = {r.doc_id: (r.text, r.next_text) for r in spotsigs.with_next_text(frame(spark, rows)).collect()}
@@ -218,10 +270,6 @@ def test_spotsigs(spark):
     assert len(pairs) == len(rows)
     for k, (i, t) in enumerate(order):
         assert pairs[i] == (t or "", order[(k + 1) % len(order)][1] or "")
-    words = spark.createDataFrame([(["the", "quick", "fox", "of", "and", "hills"],), ([],)], "w array<string>")
-    size = [r[0] for r in words.select(F.size(spotsigs.signatures(F.col("w"), short=0))).collect()]
-    # the -> quick fox; of and ... has one content word after it only.
-    assert size == [1, 0]
     assert spotsigs.with_next_text(spark.createDataFrame(EMPTY, SCHEMA)).count() == 0
 
 
@@ -235,8 +283,8 @@ def test_spotsigs_pairs_match_brute_force(spark):
             w[rng.randrange(len(w))] = f"n{rng.randint(0, 9)}"
         rows.append((i, " ".join(w)))
     df = frame(spark, rows)
-    worded = df.select("doc_id", spotsigs.word_list(F.col("text")).alias("w"))
-    sets = {r[0]: frozenset(r[1]) for r in worded.select("doc_id", spotsigs.signatures(F.col("w"))).collect()}
+    sets = {i: plain_signatures(t) for i, t in rows}
+    assert sets == {r.doc_id: frozenset(r.s) for r in spotsigs.signature_sets(df).collect()}
     names = {}
     for i, s in sets.items():
         names[s] = min(i, names.get(s, i))
