@@ -20,5 +20,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class:
     least = F.xxhash64("doc_id")
     parts = [may.where(F.col("label") == k).orderBy(least, "doc_id").limit(per_class) for k in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id")
+    # Rows that repeat an id are one document here: the least text.
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     return sample, (ones / n if n else 0.0)

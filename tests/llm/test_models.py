@@ -162,22 +162,49 @@ def test_the_grammar_scores_clauses_not_words():
     assert best("they said I kill you") < best("I kill you")
     # Context ends with its clause.
     assert best("not here. an idiot") == best("an idiot")
-    sums = score.features("an idiot. he is not an idiot. she said idiot")
-    assert sums[toxicity.PLAIN] > 0 and sums[toxicity.NEGATED] > 0 and sums[toxicity.REPORTED] > 0
+    sums = lambda text: score.clauses(text)[1]
+    found = sums("an idiot. he is not an idiot. she said idiot")
+    assert found[toxicity.PLAIN] > 0 and found[toxicity.NEGATED] > 0 and found[toxicity.REPORTED] > 0
+
+
+def test_each_machine_of_the_grammar_decides_something():
+    score = toxicity.Scorer(toxicity.Lexicon(dict.fromkeys(["idiot", "stupid"], 3.0)))
+    best = lambda text: score.features(text)[0]
+    kinds = lambda text: {k for k, x in enumerate(score.clauses(text)[1]) if x}
+    # Phrases: their words alone are nothing.
+    assert kinds("I hope you all die") == {toxicity.MENACE} and not kinds("I hope. you all die") and not kinds("they die")
+    assert kinds("shut up") == kinds("drop dead") == kinds("go to hell") == {toxicity.PLAIN} and not kinds("stand up") and not kinds("shut the door up")
+    # An insult after an insult; a vowed threat; what a negation leaves of either.
+    assert kinds("a stupid idiot") == {toxicity.PLAIN, toxicity.STRONG} and kinds("stupid. idiot") == {toxicity.PLAIN}
+    assert kinds("I will kill you") == {toxicity.VOWED} and best("I will kill you") > best("I kill you")
+    assert kinds("I will not kill you") == {toxicity.DENIED} and best("I will not kill you") < best("I kill you")
+    # A quotation goes on over clauses, up to its mark or the end of the paragraph; after it insults count in full.
+    assert kinds('it read "fine. ok" you idiot') == {toxicity.AIMED}
+    assert best('it read "fine. ok" you idiot') == best("you idiot")
+    assert kinds('it went "fine. you idiot. ok" then') == {toxicity.REPORTED}
+    assert kinds('an "open mark\nyou idiot') == {toxicity.AIMED}
+    assert kinds("idiot, you there") == {toxicity.PLAIN, toxicity.AIM_LATE}
 
 
 def test_a_composition_does_what_its_parts_do_in_turn():
     rng = random.Random(0)
-    a, b = toxicity.Transducer(0, toxicity._negation), toxicity.Transducer((False, False), toxicity._reported)
-    moves, outs = a.then(b).table(8)
-    x = y = None
-    state, x, y = 0, a.start, b.start
-    for _ in range(500):
-        s = rng.randrange(8)
-        x, mid = a.step(x, s)
-        y, out = b.step(y, mid)
-        assert outs[state][s] == out
-        state = moves[state][s]
+    parts = [(0, toxicity._negation), ((False, False), toxicity._reported), ((0, 0, 0), toxicity._target)]
+    whole = toxicity.Transducer(*parts[0])
+    for part in parts[1:]:
+        whole = whole.then(toxicity.Transducer(*part))
+    machine, state, states = toxicity.Machine(whole, 17), 0, [start for start, _ in parts]
+    for _ in range(2000):
+        symbol = out = rng.randrange(10)
+        for k, (_, step) in enumerate(parts):
+            states[k], out = step(states[k], out)
+        state, emitted = machine.move(state, symbol)
+        assert emitted == out
+
+
+def test_a_repeated_id_is_one_row_of_the_sample(spark):
+    rows = [(1, "a"), (1, "b"), (1, "b"), (2, "c"), (None, "d")]
+    sample, _ = labelled_sample(frame(spark, rows), spark.createDataFrame([(1, 1, 1), (2, 0, 0), (2, 0, 0), (None, 1, 1)], LABELS), "toxic", 5, held_out=9, modulus=8)
+    assert sorted((r.doc_id, r.text, r.label) for r in sample.collect()) == [(1, "a", 1), (2, "c", 0)]
 
 
 def test_quality(spark):
