@@ -43,7 +43,7 @@ def rename_findings(hints: DataFrame, before: DataFrame, after: DataFrame) -> Da
     """(from_key, to_key, problem) of hints that cannot be: a missing side, another kind, another schema."""
     b = before.select(F.col("key").alias("from_key"), F.col("kind").alias("_bk"), F.col("schema_name").alias("_bs"))
     a = after.select(F.col("key").alias("to_key"), F.col("kind").alias("_ak"), F.col("schema_name").alias("_as"))
-    joined = F.broadcast(hints).join(b, "from_key", "left").join(a, "to_key", "left")
+    joined = hints.join(b, "from_key", "left").join(a, "to_key", "left")
     problem = F.when(F.col("_bk").isNull(), "no source").when(F.col("_ak").isNull(), "no target").when(F.col("_bk") != F.col("_ak"), "another kind").when(~F.col("_bs").eqNullSafe(F.col("_as")), "another schema")
     return joined.select("from_key", "to_key", problem.alias("problem")).where("problem IS NOT NULL")
 
