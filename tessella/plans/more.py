@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import diff, fold, rollup, sequence
+from ..operators import diff, fold, graph, rollup, sequence
 from ..rules import packs
-from ..sources import fixtures
+from ..sources import fixtures, readers
 from . import api
 from .catalogue import DIFF_SQL, query
 
@@ -314,3 +314,19 @@ def _(t):
 @query("schema_plan_xxl")
 def _(t):
     return api.plan(*fixtures.states(t.spark, 2_500))
+
+
+# The whole way: definition text to states, their difference, the order of operations, and statements.
+
+
+def _schema_way(tables: int):
+    def build(t):
+        before, after = (graph.materialise(readers.objects_of(fixtures.texts(t.spark, tables, changed))) for changed in (False, True))
+        planned = graph.materialise(api.plan(before, after))
+        return api.render(planned, before, after)
+
+    return build
+
+
+query("schema_way_xl")(_schema_way(1_000))
+query("schema_way_xxl")(_schema_way(2_500))

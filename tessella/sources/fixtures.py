@@ -51,3 +51,27 @@ def states(spark: SparkSession, tables: int) -> tuple[DataFrame, DataFrame]:
     deps = F.when(F.col("needs").isNull(), F.array().cast("array<string>")).otherwise(F.array("needs"))
     one = lambda changed: spark.sql(state_sql(tables, changed)).withColumn("dependencies", deps).drop("needs")
     return one(False), one(True)
+
+
+def texts(spark: SparkSession, tables: int, changed: bool) -> DataFrame:
+    """(file, sql): the same schema as definition text, a file per table behind one for the schema and its enum."""
+    n = "concat('entity_', CAST(id AS STRING))"
+    edit = lambda at, text: f"CASE WHEN id = {at} THEN '{text}' ELSE '' END" if changed else "''"
+    more = "CASE WHEN id % 3 = 1 THEN ', external_ref text' ELSE '' END" if changed else "''"
+    index = f"concat('create index if not exists ', {n}, '_idx on app.', {n}, ' (tenant_id', {edit(11, ', name')}, ')')"
+    parts = [
+        f"concat('create table if not exists app.', {n}, ' (id bigint primary key, tenant_id bigint, name text not null, status app.status, payload jsonb', {more}, ')')",
+        f"CASE WHEN id > 0 THEN concat('alter table app.', {n}, ' add constraint ', {n}, '_fk foreign key (tenant_id) references app.entity_', CAST(id - 1 AS STRING), ' (id)') END",
+        f"CASE WHEN id <> 13 THEN {index} END" if changed else index,
+        f"concat('alter table app.', {n}, ' enable row level security')",
+        f"concat('create policy ', {n}, '_read on app.', {n}, ' for select using (tenant_id > 0', {edit(17, ' and id > 0')}, ')')",
+        f"concat('create policy ', {n}, '_write on app.', {n}, ' for insert with check (tenant_id > 0)')",
+        f"CASE WHEN id % 5 = 0 THEN concat('grant select on app.', {n}, ' to reader') END",
+        f"CASE WHEN id % 10 = 5 THEN concat('create or replace view app.', {n}, '_view as select id, name from app.', {n}, {edit(15, ' where id > 0')}) END",
+        f"CASE WHEN id % 20 = 9 THEN concat('create or replace function app.', {n}, '_of(bigint) returns bigint language sql as $$ select 1', {edit(29, ' + 1')}, ' $$') END",
+        f"CASE WHEN id % 15 = 3 THEN concat('comment on table app.', {n}, ' is ''about ', {n}, {edit(18, ' and more')}, '''') END",
+    ]
+    label = "'a', 'b', 'c'" if changed else "'a', 'b'"
+    first = f"create schema if not exists app;\ncreate type app.status as enum ({label})" + (";\ncreate table if not exists app.audit_events (id bigint)" if changed else "")
+    rows = spark.range(tables).selectExpr("lpad(CAST(id + 1 AS STRING), 9, '0') AS file", f"concat_ws(';\n', {', '.join(parts)}) AS sql")
+    return spark.createDataFrame([("000000000", first)], "file string, sql string").unionByName(rows)
