@@ -8,7 +8,7 @@
    reaches ``share`` of the item's full score, or ``run`` words' worth: paraphrases and excerpts pass, chance does not.
 
 Words are runs of letters, digits and bytes beyond ASCII, with capitals of ASCII and Latin-1 lowered, so punctuation
-and capitals do not hide a copy.  The seed index holds ``BLOCK`` items at most; a larger benchmark is taken in blocks, by
+and capitals do not hide a copy.  The seed index holds ``BLOCK`` items and about ``BLOCK_BYTES`` of text at most; a larger benchmark is taken in blocks, by
 hash of the item, with a pass over the corpus each.
 
 Defined results: null or empty texts and items match nothing; repeated rows match each; a null document or item id is kept
@@ -29,7 +29,7 @@ from . import common as C
 
 SIZES = (3, 5)
 SHORT = 5
-BLOCK = 50_000
+BLOCK, BLOCK_BYTES = 50_000, 32 << 20
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 MATCHES = "doc_id long, item_id long, score double, start int, stop int, item_words int"
@@ -216,7 +216,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.55, ru
     """One row per text and item that contaminates it: the alignment's score (1: the whole item), its words in the text."""
     spark = docs.sparkSession
     C.limit_batches(spark)
-    blocks = max(1, -(-benchmark.count() // BLOCK))
+    # Bounded in items and in bytes; a repeated item is one.
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES))
     found = None
     for k in range(blocks):
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)

@@ -10,7 +10,9 @@ sequences whose lengths are powers of two, which need no padding.
 Each task packs its own rows: no shuffle, memory bounded by the window, and a lost task is redone alike.  A sequence id is
 the task's number times 2^32 plus the sequence's number there.
 
-Defined results: null or empty text still has its end token; repeated rows are packed each; a null id stays null.
+Defined results: null or empty text still has its end token; repeated rows are packed each; a null id stays null; a very
+long text is cut into whole sequences, in memory of its size; an empty table gives no rows; other columns, of whatever name,
+are ignored.
 """
 
 from __future__ import annotations
@@ -135,10 +137,17 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max_segments: int = 64, max_loss: int = 1024, end_id: int = 0, prompt_column: str | None = None) -> DataFrame:
-    """Pack the rows of ``docs`` (doc_id, text).  ``prompt_column``: how many leading tokens of a row bear no loss."""
+def pack(
+    docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max_segments: int = 64, max_loss: int = 1024, end_id: int = 0, prompt_column: str | None = None, answer_column: str | None = None
+) -> DataFrame:
+    """Pack the rows of ``docs`` (doc_id, text).  ``prompt_column``: how many leading tokens of a row bear no loss.
+
+    ``answer_column``: a text that follows ``text``, tokenised apart; its tokens and the end bear loss, those of ``text`` do not.
+    """
     C.limit_batches(docs.sparkSession)
-    columns = ["doc_id", "text"] + ([prompt_column] if prompt_column else [])
+    if prompt_column and answer_column:
+        raise ValueError("a prompt is a number of tokens or a text, not both")
+    columns = ["doc_id", "text", *([prompt_column] if prompt_column else []), *([answer_column] if answer_column else [])]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +156,13 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max_segments:
         for batch in batches:
             doc, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
             prompts = batch.column(2).fill_null(0).to_pylist() if prompt_column else None
+            answers = batch.column(2).fill_null("").to_pylist() if answer_column else None
             for lo, hi in groups(texts):
-                for i, ids in zip(range(lo, hi), encode.encode(texts[lo:hi]), strict=True):
-                    flags = None if prompts is None else np.arange(len(ids) // 4 + 1) >= prompts[i]
-                    packer.add(doc[i], ids + end, flags)
+                follow = encode.encode(answers[lo:hi]) if answers else [b""] * (hi - lo)
+                for i, ids, more in zip(range(lo, hi), encode.encode(texts[lo:hi]), follow, strict=True):
+                    prompt = None if prompts is None and answers is None else prompts[i] if prompts else len(ids) // 4
+                    ids += more + end
+                    packer.add(doc[i], ids, None if prompt is None else np.arange(len(ids) // 4) >= prompt)
             yield C.arrow_batch(PIECES, packer.drain())
         packer.finish()
         yield C.arrow_batch(PIECES, packer.drain())
@@ -161,6 +173,21 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, max_segments:
     return lean.mapInArrow(run, PIECES_DDL)
 
 
+def instruction_packing(spark, sf_dir: str) -> DataFrame:
+    """Every answer of ``conversations`` with the turn before it as its prompt, under three limits that all bind.
+
+    An example's doc_id is conv_id * 2^20 + turn.
+    """
+    import public_tokenizers
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    answers = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
+    prompts = turns.where("role <> 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), "text")
+    examples = answers.join(prompts, ["conv_id", "turn"], "left")
+    named = examples.select((F.col("conv_id") * (1 << 20) + F.col("turn")).alias("doc_id"), "text", "answer")
+    return pack(named, public_tokenizers.path("byte_bpe_50k.json"), 1024, 12, 512, answer_column="answer")
+
+
 def op4_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

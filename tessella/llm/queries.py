@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op7_decontamination
 from .katz import op2_katz
 from .ngram_join import op9_ngram_join
-from .packing import op4_packing
+from .packing import instruction_packing, op4_packing
 from .quality import op8_quality
 from .spotsigs import op6_spotsigs
 from .substring_dedup import op3_substring_dedup
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_store": op10_token_store,
+    "instruction_packing": instruction_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,16 +2,17 @@
 
 A file is a run of independent zstandard frames followed by a seek table in a skippable frame, as in the public seekable
 format: for each frame its compressed size, its size and a checksum, then a footer with the number of frames.  The
-checksum is crc32 of the frame's plain bytes.  A frame holds whole documents: their number, then for each its id and the
-number of its ids, then all ids as little-endian unsigned 32-bit integers (16-bit where the vocabulary allows).  A reader of one document needs
+checksum is the low half of XXH64 of the frame's plain bytes, as the format says.  A frame holds whole documents: their
+number, then for each its id, the number of its ids and whether its id is null, then all ids as little-endian unsigned 32-bit integers (16-bit where the vocabulary allows).  A reader of one document needs
 the table and one frame.
 
 Writing: rows go to tasks by ranges of ids, each task sorts its rows and writes one file under a name of its own attempt,
 renamed when complete; so a repeated task replaces its file whole.  Files go to the folder that all executors share.
 Reading: the manifest has one row per frame (first document, documents, tokens); running totals over it place each frame.
 
-Defined results: null or empty text has its end id only; rows that repeat an id stand together, ordered by text; a null id
-comes first and stays null; an empty table gives no rows.
+Defined results: null or empty text has its end id only; rows that repeat an id stand together, ordered by text within a
+file (many such rows may span files, dealt by a hash of the text); a very long text is one document of one frame, in memory
+of its size; a null id comes first and stays null; an empty table gives no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -37,7 +39,6 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 FRAME_BYTES = 1 << 20
-NULL_ID = np.iinfo(np.int64).min
 MANIFEST = "path string, part long, frame int, documents long, tokens long"
 MANIFEST_ARROW = pa.schema([("path", pa.string()), ("part", pa.int64()), ("frame", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
@@ -66,6 +67,10 @@ def move_shared(source: str, target: str) -> None:
     system.move(inner, fs.FileSystem.from_uri(target)[1])
 
 
+def checksum(plain: bytes) -> int:
+    return xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF
+
+
 class Writer:
     """Collects documents into frames and writes them; ``close`` adds the seek table."""
 
@@ -74,11 +79,11 @@ class Writer:
         self.compressor = zstandard.ZstdCompressor(level=level, write_checksum=True)
         self.table: list[tuple[int, int, int]] = []
         self.counts: list[tuple[int, int]] = []
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
         self.parts: list[bytes] = []
         self.held = 0
 
-    def add(self, doc: int, tokens: bytes) -> None:
+    def add(self, doc: int | None, tokens: bytes) -> None:
         self.ids.append(doc)
         self.parts.append(tokens)
         self.held += len(tokens)
@@ -91,10 +96,11 @@ class Writer:
         lengths = np.array([len(p) // 4 for p in self.parts], "<i8")
         values = np.frombuffer(b"".join(self.parts), "<u4")
         width = 2 if not len(values) or values.max() < 65536 else 4
-        plain = struct.pack("<qq", len(self.ids), width) + np.array(self.ids, "<i8").tobytes() + lengths.tobytes() + values.astype(f"<u{width}").tobytes()
+        ids, no_id = np.array([i or 0 for i in self.ids], "<i8"), np.array([i is None for i in self.ids], np.uint8)
+        plain = struct.pack("<qq", len(ids), width) + ids.tobytes() + lengths.tobytes() + no_id.tobytes() + values.astype(f"<u{width}").tobytes()
         frame = self.compressor.compress(plain)
         self.file.write(frame)
-        self.table.append((len(frame), len(plain), zlib.crc32(plain)))
+        self.table.append((len(frame), len(plain), checksum(plain)))
         self.counts.append((len(self.ids), int(lengths.sum())))
         self.ids, self.parts, self.held = [], [], 0
 
@@ -120,15 +126,17 @@ class Reader:
         self.table = np.frombuffer(file.read(12 * n), "<u4").reshape(n, 3)
         self.starts = np.concatenate([[0], np.cumsum(self.table[:, 0], dtype=np.int64)])
 
-    def frame(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def frame(self, k: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Ids of the documents, their numbers of tokens, and all token ids of frame ``k``."""
         self.file.seek(int(self.starts[k]))
-        packed, size, checksum = (int(x) for x in self.table[k])
+        packed, size, expected = (int(x) for x in self.table[k])
         plain = zstandard.ZstdDecompressor().decompress(self.file.read(packed), max_output_size=size)
-        if zlib.crc32(plain) != checksum:
+        if checksum(plain) != expected:
             raise ValueError(f"frame {k} is damaged")
         n, width = struct.unpack_from("<qq", plain)
-        return np.frombuffer(plain, "<i8", n, 16), np.frombuffer(plain, "<i8", n, 16 + 8 * n), np.frombuffer(plain, f"<u{width}", -1, 16 + 16 * n).astype("<u4")
+        ids, lengths, no_id = np.frombuffer(plain, "<i8", n, 16), np.frombuffer(plain, "<i8", n, 16 + 8 * n), np.frombuffer(plain, np.uint8, n, 16 + 16 * n)
+        values = np.frombuffer(plain[16 + 17 * n :], f"<u{width}").astype("<u4")
+        return pa.array(ids, mask=no_id.astype(bool)), lengths, values
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) -> DataFrame:
@@ -147,7 +155,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2)
         writer = None
         encode = encoder(tokenizer)
         for batch in batches:
-            doc, texts = batch.column(0).fill_null(int(NULL_ID)).to_pylist(), batch.column(1).fill_null("").to_pylist()
+            doc, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist()
             writer = writer or Writer(open_shared(draft, "wb"))
             for lo, hi in groups(texts):
                 for i, ids in zip(range(lo, hi), encode.encode(texts[lo:hi]), strict=True):
@@ -185,7 +193,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 starts = ends - lengths
                 data = memoryview(ids.tobytes())
                 crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == NULL_ID), pa.array(starts + start), pa.array(lengths), pa.array(crc, pa.int64())], schema=READ_ARROW)
+                yield pa.RecordBatch.from_arrays([doc, pa.array(starts + start), pa.array(lengths), pa.array(crc, pa.int64())], schema=READ_ARROW)
 
     spread = placed.repartition(C.shuffle_partitions(manifest.sparkSession), "path", "frame").sortWithinPartitions("path", "frame")
     return spread.mapInArrow(run, READ)

@@ -122,8 +122,33 @@ def test_packing_with_prompts(spark):
         packing.pack(df, PATH, 0)
 
 
+def test_each_limit_of_instruction_packing_binds(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(["tok", "ens", "of", "text"]) for _ in range(n))
+
+    def totals(name, sizes):
+        rng.shuffle(sizes)
+        rows = [(i, turn, role, text(n)) for i, (a, b) in enumerate(sizes) for turn, (role, n) in enumerate([("user", a), ("assistant", b)])]
+        rows += [(9000, 0, "assistant", "no prompt"), (9001, 0, "user", None), (9001, 1, "assistant", None), (9002, 0, "user", "no answer")]
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(2).write.parquet(f"{tmp_path}/{name}/conversations.parquet")
+        sequences, loss = defaultdict(list), defaultdict(int)
+        for r in packing.instruction_packing(spark, f"{tmp_path}/{name}").collect():
+            sequences[r.sequence_id].append(r)
+            loss[r.doc_id] += r.loss_tokens
+        assert loss == {(i << 20) + turn: len(library_ids(t or "")) + 1 for i, turn, role, t in rows if role == "assistant"}
+        found = [(sum(r.length for r in rs), len(rs), sum(r.loss_tokens for r in rs)) for rs in sequences.values()]
+        assert all(a <= 1024 and b <= 12 and c <= 512 for a, b, c in found)
+        return found
+
+    # Short examples, long prompts with short answers, short prompts with long answers: each limit ends some sequence.
+    mixed = totals("mixed", [(3, 3)] * 300 + [(300, 5)] * 60 + [(4, 200)] * 60)
+    assert any(a == 1024 and b < 12 and c < 512 for a, b, c in mixed)
+    assert any(a < 1024 and b == 12 and c < 512 for a, b, c in mixed)
+    assert any(a < 1024 and c == 512 for a, b, c in totals("answers", [(4, 200)] * 60))
+
+
 def test_token_store(spark):
-    rows = [*corpus(), (None, "no id"), (3, "twice"), (3, "twice")]
+    rows = [*corpus(), (None, "no id"), (3, "twice"), (3, "twice"), (-(1 << 63), "least"), ((1 << 63) - 1, "greatest")]
     manifest = token_store.write_tokens(awkward(spark, rows), PATH, scratch(spark, "tokens"), 2)
     got = sorted((tuple(r) for r in token_store.read_tokens(manifest).collect()), key=lambda r: r[1])
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
