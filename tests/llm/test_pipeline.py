@@ -83,7 +83,13 @@ def test_run_on_an_empty_table(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_instruction_packing_takes_every_answer(spark, data):
+    turns = spark.read.parquet(f"{data}/conversations.parquet").where("role = 'assistant'").select("conv_id", "turn")
+    got = queries.QUERIES["instruction_packing"](spark, data).select("doc_id").distinct().count()
+    assert got == turns.distinct().count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n.startswith("op")))
 def test_registered_queries(spark, data, name):
     """Each query gives a row for each document, or more, of the whole table."""
     n = spark.read.parquet(f"{data}/documents.parquet").count()
