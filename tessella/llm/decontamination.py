@@ -1,8 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 1. The corpus is counted for the words of the benchmark (all rows; the table has a row per benchmark word).
-2. Of every benchmark n-gram, the count expected by chance follows from its words' shares.  Those expected less than once
-   in this corpus are seeds: rare by their words, however often a leaked item itself was copied.
+2. Of every benchmark n-gram, adjoining or with gaps (``MASKS``), the rate expected by chance follows from its words' shares.
+   Those below ``RARE`` a position are seeds: rare by their words, however often a leaked item itself was copied.  The rate
+   is a constant, so an item has the same seeds in a corpus of any size with the same shares; chance hits stay in
+   proportion to the corpus.
 3. Seeds are looked up in every text.  Hits of one item on near diagonals make a candidate region.
 4. Each region is aligned with its item: +2 a match, -1 an edit or a gap.  A text is contaminated by an item if the score
    reaches ``share`` of the item's full score, or ``run`` words' worth: paraphrases and excerpts pass, chance does not.
@@ -12,7 +14,8 @@ and capitals do not hide a copy.  The seed index holds ``BLOCK`` items and about
 hash of the item, with a pass over the corpus each.
 
 Defined results: null or empty texts and items match nothing; repeated rows match each; a null document or item id is kept
-as null; items of fewer than ``SHORT`` words are not searched, as chance would match them.
+as null; items of fewer than ``SHORT`` words are not searched, as chance would match them.  An alignment that holds no seed,
+a few common words in order, counts as chance too.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SIZES = (3, 5)
+# Words of a seed, from its first: pairs over up to two others, then longer ones where the pairs are common.  Those with gaps
+# hold in copies of which every second or third word was changed.
+MASKS = ((0, 1), (0, 2), (0, 3), (0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 3, 6), (0, 1, 3, 4), (0, 2, 4, 6), (0, 1, 2, 3, 4))
+RARE = 2.5e-7
 SHORT = 5
 BLOCK, BLOCK_BYTES = 50_000, 32 << 20
 _SEPARATORS = np.ones(256, bool)
@@ -71,7 +77,7 @@ class Items:
 
     ids: list[int | None]
     words: list[np.ndarray]
-    seeds: list[tuple[int, Lookup, np.ndarray, np.ndarray, np.ndarray]]  # n, hashes, first entry of each, items, places
+    seeds: list[tuple[tuple[int, ...], Lookup, np.ndarray, np.ndarray, np.ndarray]]  # mask, hashes, first entry of each, items, places
 
 
 def read_items(benchmark: DataFrame) -> tuple[list[int | None], list[np.ndarray]]:
@@ -104,32 +110,42 @@ def word_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
     return counts[:-1], int(counts[-1])
 
 
-def choose_seeds(ids: list, words: list[np.ndarray], vocabulary: np.ndarray, share: np.ndarray, total: int) -> Items:
-    """The n-grams of each item whose words make them expected less than once among ``total`` words."""
-    seeds = []
+def masked(h: np.ndarray, at: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the words of ``mask`` from each place in ``at``."""
+    total = np.zeros(len(at), np.uint64)
+    for k in mask:
+        total = total * np.uint64(C._BASE) + h[at + k]
+    return C.mix(total + np.uint64(MASKS.index(mask)))
+
+
+def choose_seeds(ids: list, words: list[np.ndarray], vocabulary: np.ndarray, share: np.ndarray) -> Items:
+    """The masked n-grams of each item whose words' shares give less than ``RARE`` together."""
     log_share = np.log(np.maximum(share, 1e-18))
-    covered = [np.zeros(len(w), bool) for w in words]
-    for n in SIZES:
+    logs = [log_share[np.searchsorted(vocabulary, w)] for w in words]
+    taken: list[dict[tuple[int, ...], np.ndarray]] = [{} for _ in words]
+    seeds = []
+    for mask in MASKS:
         hs, items, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, w in enumerate(words):
-            if len(w) < max(n, SHORT):
+            n = len(w) - mask[-1]
+            if len(w) < SHORT or n <= 0:
                 continue
-            logs = np.concatenate([[0.0], np.cumsum(log_share[np.searchsorted(vocabulary, w)])])
-            rare = np.log(max(total, 1)) + logs[n:] - logs[:-n] < 0
-            # A longer n-gram only where no shorter one begins.
-            at = np.flatnonzero(rare & ~covered[i][: len(rare)])
-            covered[i][at] = True
-            h = np.zeros(len(w) - n + 1, np.uint64)
-            for k in range(n):
-                h = h * np.uint64(C._BASE) + w[k : len(w) - n + 1 + k]
-            hs.append(C.mix(h + np.uint64(n))[at])
+            # The last mask is a seed wherever nothing rarer begins.
+            new = (sum(logs[i][k : k + n] for k in mask) < np.log(RARE)) | (mask == MASKS[-1])
+            # A seed within this one, from the same word, is found wherever this one is.
+            for other, held in taken[i].items():
+                if set(other) < set(mask):
+                    new &= ~held[:n]
+            taken[i][mask] = new
+            at = np.flatnonzero(new)
+            hs.append(masked(w, at, mask))
             items.append(np.full(len(at), i))
             places.append(at)
         h, item, place = (np.concatenate(x) for x in (hs, items, places))
         order = np.argsort(h, kind="stable")
         h, item, place = h[order], item[order], place[order]
         first = C.runs(h)
-        seeds.append((n, Lookup(h[first]), np.append(first, len(h)), item, place))
+        seeds.append((mask, Lookup(h[first]), np.append(first, len(h)), item, place))
     return Items(ids, words, seeds)
 
 
@@ -164,9 +180,10 @@ def find_leaks(docs: DataFrame, items: Items, share: float, run_words: int) -> D
     def candidates(words: C.Words) -> list[tuple[int, int, int, int]]:
         """(text, item, first word, end) of regions that share seeds with an item."""
         texts, which, diagonals = [], [], []
-        for n, lookup, first, item, place in items.seeds:
-            h, at = words.grams(n)
-            hit, seed = lookup.find(h)
+        left = words.count[words.doc] - words.place
+        for mask, lookup, first, item, place in items.seeds:
+            at = np.flatnonzero(left > mask[-1])
+            hit, seed = lookup.find(masked(words.hash[0], at, mask))
             many = first[seed + 1] - first[seed]
             entry = np.repeat(first[seed], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
             at = np.repeat(at[hit], many)
@@ -182,11 +199,9 @@ def find_leaks(docs: DataFrame, items: Items, share: float, run_words: int) -> D
         new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > np.maximum(sizes[item[1:]] // 2, 4))
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(text))
-        least = np.where(sizes[item[starts]] >= 10, 2, 1)
-        keep = ends - starts >= least
         return [
             (int(text[s]), int(item[s]), max(int(diagonal[s]) - 4, 0), min(int(diagonal[e - 1] + sizes[item[s]]) + 8, int(words.count[text[s]])))
-            for s, e in zip(starts[keep], ends[keep], strict=True)
+            for s, e in zip(starts, ends, strict=True)
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +241,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.55, ru
         ids, words = read_items(part)
         vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
         counts, total = word_counts(docs, vocabulary)
-        leaks = find_leaks(docs, choose_seeds(ids, words, vocabulary, counts / max(total, 1), total), share, run_words)
+        leaks = find_leaks(docs, choose_seeds(ids, words, vocabulary, counts / max(total, 1)), share, run_words)
         found = leaks if found is None else found.unionAll(leaks)
     return found
 
