@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from functools import lru_cache
 
@@ -28,6 +29,32 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _plane_class(of: str) -> str:
+    """The characters up to U+FFFF that match ``of``, as ranges of a character class."""
+    held = regex.compile(of)
+    inside = [not 0xD800 <= c < 0xE000 and held.match(chr(c)) is not None for c in range(0x10000)]
+    edges = [c for c in range(0x10001) if (c < 0x10000 and inside[c]) != (c > 0 and inside[c - 1])]
+    return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+class Splitter:
+    """Cuts texts into pieces.  Texts without characters beyond U+FFFF, nearly all, go through a table of that plane, which
+    takes half the time of looking up properties."""
+
+    def __init__(self):
+        self.any = regex.compile(SPLIT).findall
+        letter, number, blank = (_plane_class(of) for of in (r"\p{L}", r"\p{N}", r"\s"))
+        pattern = SPLIT.replace(r"[^\s\p{L}\p{N}]", f"[^{blank}{letter}{number}]")
+        for name, ranges in ((r"\p{L}", letter), (r"\p{N}", number), (r"\S", "^" + blank), (r"\s", blank)):
+            pattern = pattern.replace(name, f"[{ranges}]")
+        self.plane = re.compile(pattern).findall
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text):
+            return self.plane(text)
+        return self.any(text)
+
+
 class Pieces(dict):
     """Ids of pieces, asked of the library's model when first met."""
 
@@ -55,7 +82,7 @@ class Encoder:
         kind = described["pre_tokenizer"] or {}
         plain = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and described["normalizer"] is None
         plain = plain and described["model"]["type"] == "BPE"
-        self.split = regex.compile(SPLIT) if plain else None
+        self.split = Splitter() if plain else None
         self.pieces = Pieces(self.library.model.tokenize)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -67,7 +94,7 @@ class Encoder:
             return self._whole(texts)
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
-        get, split = self.pieces.__getitem__, self.split.findall
+        get, split = self.pieces.__getitem__, self.split
         return [self._whole([t])[0] if any(a in t for a in self.added) else b"".join(map(get, split(t))) for t in texts]
 
 

@@ -37,6 +37,18 @@ def test_encoder_and_counter_agree_with_the_library(texts):
         assert token_counts.token_counter(PATH).counts(texts).tolist() == [len(e) for e in expected]
 
 
+def test_both_ways_to_split_agree():
+    split = token_ids.Splitter()
+    contexts = ["{}", " {}", "a{}b", "1{} 2", " {}  {}a", "!{}'s", "\n{} \n{}\n"]
+    for c in range(0x10000):
+        if not 0xD800 <= c < 0xE000:
+            for x in contexts:
+                t = x.format(*[chr(c)] * x.count("{}"))
+                assert split.plane(t) == split.any(t), t
+    beyond = "a \U0001d400b \U0001f600  \U00020000 1"
+    assert split(beyond) == split.any(beyond) and "".join(split(beyond)) == beyond
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
