@@ -18,8 +18,8 @@ import regex
 
 # Fixed value: the byte-level splitting pattern.  Alternatives that cannot begin alike stand in order of frequency.
 SPLIT = r" ?\p{L}+| ?\p{N}+|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# The most pieces that a worker keeps: about 150 MB.
-CACHE_PIECES = 500_000
+# The most pieces that a worker keeps, within long texts too: about 60 MB.
+CACHE_PIECES = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,6 +65,8 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         # Each byte as its stand-in, the alphabet of the vocabulary.
         letters = piece.encode().decode("latin-1").translate(self.stand_in)
+        if len(self) >= CACHE_PIECES:
+            self.clear()
         ids = self[piece] = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
         return ids
 
@@ -92,8 +94,6 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if self.split is None:
             return self._whole(texts)
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
         get, split = self.pieces.__getitem__, self.split
         return [self._whole([t])[0] if any(a in t for a in self.added) else b"".join(map(get, split(t))) for t in texts]
 
