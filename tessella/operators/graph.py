@@ -92,12 +92,74 @@ def cyclic_keys(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     raise RuntimeError("the peeling did not end")
 
 
+def _walks(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Of ``links`` (name, base): the walks (start, at, n) that end, n links on, at what is no name; and those without end, if any.
+
+    Each round a walk goes on from where it is by the steps known from there, so their number doubles.  While a walk has
+    its end before it, one of those behind it finds the same end in the next round: a round that ends none leaves cycles.
+    """
+    names = links.select(F.col("name").alias("base"), F.lit(True).alias("_on"))
+    step = materialise(links.join(names, "base", "left").select(F.col("name").alias("start"), F.col("base").alias("at"), F.lit(1).cast("long").alias("n"), F.col("_on").isNull().alias("done")))
+    known = None
+    while True:
+        done, on = step.where("done"), step.where("NOT done")
+        known = done if known is None else known.unionByName(done)
+        n_done, n_on = step.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        if not n_on or not n_done:
+            return known.drop("done"), on.drop("done") if n_on else None
+        to = known.unionByName(on).select(F.col("start").alias("at"), F.col("at").alias("_at"), F.col("n").alias("_n"), F.col("done").alias("_done"))
+        step = materialise(on.join(to, "at").select("start", F.col("_at").alias("at"), (F.col("n") + F.col("_n")).alias("n"), F.col("_done").alias("done")))
+
+
+def _rings(links: DataFrame, endless: DataFrame) -> DataFrame:
+    """(name, size) of the names on cycles, from the walks (start, at) without end."""
+    n = -1
+    while True:
+        # The places that walks are at get fewer until only those on cycles are left, which are as many after each step.
+        before, n = n, endless.select("at").distinct().count()
+        if n == before:
+            break
+        to = endless.select(F.col("start").alias("at"), F.col("at").alias("_at"))
+        endless = materialise(endless.join(to, "at").select("start", F.col("_at").alias("at")))
+    ring = endless.select(F.col("at").alias("name")).distinct()
+    # Each name learns the least name of twice as many links; when none learns anything, all of a cycle know the same one.
+    seen = materialise(links.join(ring, "name", "left_semi").select("name", F.col("base").alias("at"), F.col("name").alias("least"), F.lit(True).alias("new")))
+    while seen.where("new").limit(1).count():
+        to = seen.select(F.col("name").alias("at"), F.col("at").alias("_at"), F.col("least").alias("_least"))
+        seen = materialise(seen.join(to, "at").select("name", F.col("_at").alias("at"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("new")))
+    return seen.join(seen.groupBy("least").agg(F.count("*").alias("size")), "least").select("name", "size")
+
+
 def chains(spark, links: DataFrame) -> DataFrame:
-    """(start, target, length, cyclic) of chains of ``links`` (name, base), one base each, followed to their end.
+    """(start, target, length, cyclic) of chains of ``links`` (name, base), followed to their end.
 
-    A walk stops at the first base that it has visited, so none is longer than there are links.  Beyond Spark's limit of
-    rows in a recursion (``spark.sql.cteRecursionRowLimit``) the query fails.
+    A walk stops at the first base that it has visited: its length is that of the way to a cycle and around it once.  A
+    null base ends a chain without target, ``cyclic`` is null then; so does a null name.  The work grows with the links
+    times the logarithm of the longest chain.  Names with several bases are walked by recursion (``_branches``).
     """
+    links = materialise(links.select("name", "base").distinct())
+    named = links.where("name IS NOT NULL")
+    n, names = named.agg(F.count("*"), F.count_distinct("name")).first()
+    if n > names:
+        return _branches(spark, links)
+    ended, endless = _walks(named)
+    none = F.lit(None).cast("string")
+    out = ended.select("start", F.col("at").alias("target"), F.col("n").alias("length"), F.when(F.col("at").isNotNull(), False).alias("cyclic"))
+    out = out.unionByName(links.where("name IS NULL").limit(1).select(F.col("name").alias("start"), none.alias("target"), F.lit(1).cast("long").alias("length"), F.lit(None).cast("boolean").alias("cyclic")))
+    if endless is None:
+        return out
+    rings = materialise(_rings(named, endless))
+    cyclic = lambda rows: rows.select("start", none.alias("target"), "length", F.lit(True).alias("cyclic"))
+    out = out.unionByName(cyclic(rings.select(F.col("name").alias("start"), F.col("size").alias("length"))))
+    # The way to a cycle ends where the cycle begins.
+    ways = named.join(endless.select(F.col("start").alias("name")), "name", "left_semi").join(rings, "name", "left_anti")
+    to, _ = _walks(ways)
+    return out.unionByName(cyclic(to.join(rings, F.col("at") == F.col("name")).select("start", (F.col("n") + F.col("size")).alias("length"))))
+
+
+def _branches(spark, links: DataFrame) -> DataFrame:
+    """``chains`` where a name has several bases: the longest of its walks.  They are too many to follow beyond Spark's
+    limit of rows in a recursion (``spark.sql.cteRecursionRowLimit``); the query fails there."""
     longest = links.count()
     walked = spark.sql(
         """WITH RECURSIVE walk(start, at, path, cyclic) MAX RECURSION LEVEL {levels} AS (

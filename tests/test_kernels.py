@@ -214,3 +214,27 @@ def test_chains_are_followed_to_their_end(spark):
     assert got["t0"] == ("t70", 70, False) and got["t69"] == ("t70", 1, False)
     assert got["c0"] == (None, 66, True) and got["into"] == (None, 67, True) and got["self"] == (None, 1, True)
     assert len(got) == len(links)
+
+
+def _chain(links, start):
+    path, at, cyclic = {start}, links[start], links[start] == start
+    while at in links and not cyclic:
+        path.add(at)
+        at, cyclic = links[at], links[at] in path
+    return (None, len(path), None) if at is None else (None if cyclic else at, len(path), cyclic)
+
+
+def test_chains_beyond_the_rows_of_a_recursion(spark):
+    # 1.2 million steps from the many alone.
+    links = {f"t{i}": f"t{i + 1}" for i in range(150)} | {f"m{i}": "t0" for i in range(8000)} | {f"a{i}": f"a{i + 1}" for i in range(37)} | {"a37": "a30", "two": "owt", "owt": "two", "to": "two", "self": "self", "open": None, "on": "open"}
+    links |= {f"r{i}": f"r{(i * i + 1) % 211}" for i in range(200)}
+    rows = [*links.items(), ("to", "two"), (None, "t0"), (None, None)]
+    got = sorted(map(tuple, graph.chains(spark, spark.createDataFrame(rows, "name string, base string").repartition(3)).collect()), key=str)
+    assert got == sorted([(k, *_chain(links, k)) for k in links] + [(None, None, 1, None)], key=str)
+    assert graph.chains(spark, spark.createDataFrame([], "name string, base string")).count() == 0
+
+
+def test_chains_of_names_with_several_bases(spark):
+    rows = [("a", "b"), ("a", "end"), ("b", "c"), ("c", "end")]
+    got = sorted(map(tuple, graph.chains(spark, spark.createDataFrame(rows, "name string, base string")).collect()))
+    assert got == [("a", "end", 3, False), ("b", "end", 2, False), ("c", "end", 1, False)]
