@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import sequence
-from .facts import GUARDED_BY_EXISTS, GUARDED_BY_REPLACE, read
-from .tokens import split_statements
+from ..operators.graph import materialise
+from .facts import GUARDED_BY_EXISTS, GUARDED_BY_REPLACE, read_tokens
+from .tokens import Token, split_statements, split_tokens, tokens
 
 STATEMENTS = "file string, idx long, byte_start long, text string"
 FACTS = (
@@ -32,8 +34,8 @@ def statements(files: DataFrame) -> DataFrame:
     return files.select("file", "sql").mapInPandas(run, STATEMENTS)
 
 
-def _row(text: str) -> tuple:
-    f = read(text)
+def _row(parts: list[Token]) -> tuple:
+    f = read_tokens(parts)
     commands = f.detail.get("commands", []) if f.verb == "alter" else []
     added = [c["column"] for c in commands if c["action"] == "add column" and c.get("column")]
     return (
@@ -50,12 +52,41 @@ def facts(rows: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = pd.DataFrame([_row(t) for t in part["text"]], columns=names)
+            found = pd.DataFrame([_row(list(tokens(t))) for t in part["text"]], columns=names)
             yield pd.concat([part.reset_index(drop=True), found], axis=1)
 
     return rows.mapInPandas(run, FACTS)
 
 
+# Arrow's types of the columns of FACTS.
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+# Statements in a batch of facts.
+BATCH = 20_000
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """``facts`` of the ``statements`` of files (file, sql), from one reading of each text.
+
+    Reading takes long beside the bytes of a table, so files are dealt anew however few tasks they come in.
+    """
+    schema = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in FACTS.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        rows: list[tuple] = []
+        for b in batches:
+            for file, sql in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for i, (at, text, parts) in enumerate(split_tokens(sql or "")):
+                    rows.append((file, i, at, text, *_row(parts)))
+                    if len(rows) == BATCH:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
+
+    return files.select(F.col("file").cast("string"), "sql").repartition("file").mapInArrow(run, FACTS)
+
+
 def _found(rows: DataFrame, code: str, severity: str, message: str) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "file", F.col("idx").cast("long").alias("idx"), F.coalesce("key", F.lit("")).alias("subject"), F.lit(message).alias("message"))
 
@@ -83,7 +114,8 @@ def silent_column_drops(f: DataFrame) -> DataFrame:
 
 
 def check_statements(f: DataFrame, split_concurrent: bool = True) -> DataFrame:
-    """(code, severity, file, idx, subject, message) of all checks over a table of facts."""
+    """(code, severity, file, idx, subject, message) of all checks over a table of facts, which are made once for all of them."""
+    f = materialise(f)
     has = lambda action: F.array_contains("actions", action)
     create, drop, verb, kind = F.col("verb") == "create", F.col("verb") == "drop", F.col("verb"), F.col("kind")
     guarded = F.col("guarded") | F.col("replace")
@@ -92,7 +124,7 @@ def check_statements(f: DataFrame, split_concurrent: bool = True) -> DataFrame:
     uses = f.where(~drop).select("file", "idx", "key", F.explode("dependencies").alias("identity"))
     early = sequence.forward_references(uses, created, "file", "identity", "idx").withColumn("key", F.col("identity"))
     labels = f.where("added_label IS NOT NULL").select("file", "idx", F.col("added_label").alias("label"))
-    later = f.join(labels.withColumnsRenamed({"idx": "_added"}), "file").where((F.col("idx") > F.col("_added")) & F.col("text").contains(F.concat(F.lit("'"), "label", F.lit("'"))) & F.col("added_label").isNull())
+    later = f.where(F.col("text").contains("'")).join(labels.withColumnsRenamed({"idx": "_added"}), "file").where((F.col("idx") > F.col("_added")) & F.col("text").contains(F.concat(F.lit("'"), "label", F.lit("'"))) & F.col("added_label").isNull())
     routines = f.where(create & kind.isin("function", "procedure"))
     closed = f.where((verb == "revoke") & F.lower("text").rlike(r"\bfrom\s+public\b")).select("file", F.col("identity").alias("_closed"))
     open_ = routines.join(closed, (routines["file"] == closed["file"]) & (routines["identity"] == closed["_closed"]), "left_anti")

@@ -219,6 +219,31 @@ def test_facts_are_distributed_and_stateless(spark):
     assert checks.facts(checks.statements(files)).groupBy("file").count().where("count <> 11").count() == 0
 
 
+def test_checks_read_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part
+
+    files = spark.createDataFrame([(f"{i}.sql", BAD) for i in range(10)], "file string, sql string").mapInPandas(counted, "file string, sql string")
+    found = api.check(files).collect()
+    assert {f: sum(r.file == f for r in found) for f in {r.file for r in found}} == {f"{i}.sql": len(found) // 10 for i in range(10)}
+    assert read.value == 10
+
+
+def test_facts_of_files_are_those_of_their_statements(spark):
+    texts = [BAD, TREE["001_base.sql"], None, "", ";;", "select 'ä;' ; -- ö;\ncreate table \"Ü;\" (a int) ;\n", "do $x$ begin; end $x$; select $$;", "insert into t values ('open", "create function f(a int) returns int as $$ select 1; $$ language sql; /* ; */ drop view v;) ; select (;"]
+    texts += ["alter table é.t add column b int not null;" * 50, "/* open; select 1"]
+    files = spark.createDataFrame([(f"{i}.sql", t) for i, t in enumerate(texts)], "file string, sql string")
+    rows = lambda f: sorted(map(tuple, f.collect()), key=lambda r: r[:2])
+    assert rows(checks.file_facts(files)) == rows(checks.facts(checks.statements(files)))
+    for r in checks.file_facts(files).collect():
+        whole = texts[int(r.file.split(".")[0])].encode()
+        assert whole[r.byte_start :].startswith(r.text.encode())
+
+
 def test_watch(spark, tree, tmp_path):
     from tessella.streaming.watch import watch
 
